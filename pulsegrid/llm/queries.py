@@ -16,6 +16,18 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(tables.read(spark, sf_dir, "documents")))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(tables.read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_dedup import dedup
+
+    return dedup(tables.read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -24,6 +36,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
