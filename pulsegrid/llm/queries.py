@@ -28,6 +28,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(tables.read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated, digest
+
+    return digest(contaminated(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "benchmark")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -38,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}

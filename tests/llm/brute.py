@@ -50,3 +50,25 @@ def word_repeats(docs, width=20):
                 gone[s : s + width] = [True] * width
         out[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g).encode()))
     return out
+
+
+def benchmark_hits(docs, items, width=10):
+    """doc_id -> (n_words, n_hit, n_items, items_sha256, contaminated)."""
+    split = lambda t: ALNUM.findall((t or "").translate(ASCII_LOWER))
+    names = {}
+    for i, t in items:
+        w = split(t)
+        for s in range(max(1, len(w) - width + 1) if w else 0):
+            names.setdefault(tuple(w[s : s + width]), set()).add(str(i))
+    sizes = {len(k) for k in names}
+    out = {}
+    for i, t in docs:
+        w = split(t)
+        hit, got = [False] * len(w), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in names:
+                    hit[s : s + n] = [True] * n
+                    got |= names[tuple(w[s : s + n])]
+        out[i] = (len(w), sum(hit), len(got), sha(",".join(sorted(got)).encode()), any(hit))
+    return out
