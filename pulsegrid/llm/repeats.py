@@ -39,7 +39,9 @@ from . import tables, textblock as tb
 U = tb.U
 LOW = U((1 << 48) - 1)
 #: Bytes of text for each cell and for each bucket.
-CELL_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+CELL_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+#: Bytes of runs that are compared at once; runs with one anchor stay together.
+VERIFY_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -259,8 +261,13 @@ def _marks(spec: Spec, verify: Verify) -> Callable[[pa.Table, pa.Table], pa.Tabl
         count = _join(got, "r_count", 2).astype(np.int64)
         x = np.frombuffer(b"".join(got.column("r_data").to_pylist()), np.uint8 if spec.elements == "bytes" else U)
         bounds = np.concatenate(([0], np.cumsum(count + spec.width - 1)))
-        early = verify(x, bounds, doc, start, spec)
         first = np.cumsum(count) - count
+        early = np.zeros(int(count.sum()), bool)
+        for p in _parts(((rh >> U(12)) % U(max(1, math.ceil(x.nbytes / VERIFY_BYTES)))).astype(np.int64)):
+            size = count[p] + spec.width - 1
+            spots = np.repeat(bounds[p] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            own = np.repeat(first[p] - np.cumsum(count[p]) + count[p], count[p]) + np.arange(int(count[p].sum()))
+            early[own] = verify(x[spots], np.concatenate(([0], np.cumsum(size))), doc[p], start[p], spec)
         bit = np.arange(len(early)) - np.repeat(first, count)
         mask = np.add.reduceat(np.where(early, U(1) << bit.astype(U), U(0)), first) if len(first) else np.zeros(0, U)
         h, c, edoc, estart, more, cell, _ = _known(entries, spec)
