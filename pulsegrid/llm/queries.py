@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from . import tables
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify, split_of
+
+    docs = tables.read(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, split_of(F.col("doc_id"), 3) != 1))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest, scan
 
@@ -22,6 +29,22 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(tables.read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import split_of
+    from .toxicity import fit, score
+
+    docs = tables.read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, tables.read(spark, sf_dir, "labels"), split_of(F.col("_id"), 5) != 0))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(tables.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lz_dedup import dedup
 
@@ -41,8 +64,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
