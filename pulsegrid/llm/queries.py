@@ -29,6 +29,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(tables.read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(tables.read(spark, sf_dir, "documents")).drop("th")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import split_of
     from .toxicity import fit, score
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,

@@ -72,3 +72,28 @@ def benchmark_hits(docs, items, width=10):
                     got |= names[tuple(w[s : s + n])]
         out[i] = (len(w), sum(hit), len(got), sha(",".join(sorted(got)).encode()), any(hit))
     return out
+
+
+def jaccard_components(docs, gram=4, num=85, den=100):
+    """doc_id -> (n_shingles, component_id)."""
+    sets = {}
+    for i, t in docs:
+        w = GRAPH.findall((t or "").translate(ASCII_LOWER))
+        sets[i] = {tuple(w[s : s + gram]) for s in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if den * len(sets[i]) < num * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
