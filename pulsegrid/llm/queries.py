@@ -69,6 +69,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(tables.read(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_dedup import near_dedup
+
+    return near_dedup(tables.read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
@@ -79,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_lattice_dedup": op10_lattice_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
