@@ -242,3 +242,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc
                 yield pa.record_batch([x.column(0).slice(at, len(part)), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256 of every row, after a check that the ids decode to the text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(path, pattern)
+        for x in batches:
+            for at, part in _slices(x.column(1).to_pylist()):
+                ids = codec.encode_all(part)
+                if codec.decode_all(ids) != [t.encode() for t in part]:
+                    raise ValueError("token ids don't decode to their text")
+                yield pa.record_batch([x.column(0).slice(at, len(part)), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids])], ["doc_id", "ids", "n_tokens", "ids_sha256"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(each, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string")
