@@ -174,7 +174,7 @@ def _entries(spec: Spec, buckets: int) -> Callable[[pa.Table], pa.Table]:
         head = _heads(h, c)
         end = np.append(head[1:], len(h)) - 1 if len(h) else head
         more = (end > head) if spec.same else doc[end] != doc[head]
-        h, c, doc, start = h[head], c[head], doc[head], start[head]
+        h, c, doc, start = h[head], c[head], doc[head], start[head] if spec.same else np.zeros(len(head), np.int64)  # only needed for order inside a document
         rows = [{"bucket": int(h[p[0]] % U(buckets)), "cell": cell, "b_h": tb.pack(h[p], 6), "b_c": tb.pack(c[p], 6), "b_doc": tb.pack(doc[p], 8), "b_start": tb.pack(start[p], 5), "b_more": np.packbits(more[p]).tobytes()} for p in _parts((h % U(buckets)).astype(np.int64))]
         return _blob(rows, ["b_h", "b_c", "b_doc", "b_start", "b_more"], "bucket")
 
