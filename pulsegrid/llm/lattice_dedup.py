@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from . import textblock as tb
 from .components import components
 from .repeats import _heads
+from .tables import checkpoint
 
 U = np.uint64
 COSINE = 0.98
@@ -207,7 +208,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_dedup(rows: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", tables: int = TABLES, scale: float = SCALE, gap: float = GAP, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    spark = rows.sparkSession
     e = F.col("embedding")
     fine = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0)
     all_rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
@@ -225,14 +225,11 @@ def near_dedup(rows: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
     # a cell of one block goes with others into a group; each pair of blocks of a large cell is its own unit of the hash
     placed = placed.withColumn("group", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(groups)))
     found = placed.groupBy("group").applyInArrow(_compare(cosine), "key long, n long, a long, b long")
-    from . import tables as store
-
-    found = store.checkpoint(found)
+    found = checkpoint(found)
     links = found.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
     roots = components(found.filter("a is not null").select("a", "b"))
     named = single.select("key", "least", "weight").join(roots, F.col("key") == F.col("v"), "left").select("key", "least", "weight", F.coalesce("root", "key").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").join(links, "key", "left").select(F.col("key").alias("k"), "component", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    del spark
     out = all_rows.select("vec_id", "key").join(named, F.col("key") == F.col("k"), "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

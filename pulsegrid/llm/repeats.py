@@ -149,8 +149,10 @@ def _parts(key: np.ndarray) -> list[np.ndarray]:
     return np.split(order, _heads(key[order])[1:]) if len(key) else []
 
 
-def _blob(rows: list[dict], names: list[str], key: str) -> pa.Table:
-    return pa.table({key: pa.array([r[key] for r in rows], pa.int64()), **{n: pa.array([r[n] for r in rows], pa.binary()) for n in names}, **({"cell": pa.array([r["cell"] for r in rows], pa.int64())} if key == "bucket" and rows and "cell" in rows[0] or key == "bucket" and "b_h" in names else {})})
+def _blob(rows: list[dict], names: list[str], key: str, also: str = "") -> pa.Table:
+    """Rows as a table: a number to group by, packed columns, and perhaps another number."""
+    numbers = {c: pa.array([r[c] for r in rows], pa.int64()) for c in (key, also) if c}
+    return pa.table({**numbers, **{n: pa.array([r[n] for r in rows], pa.binary()) for n in names}})
 
 
 ENTRY = "bucket long, b_h binary, b_c binary, b_doc binary, b_start binary, b_more binary, cell long"
@@ -176,7 +178,7 @@ def _entries(spec: Spec, buckets: int) -> Callable[[pa.Table], pa.Table]:
         more = (end > head) if spec.same else doc[end] != doc[head]
         h, c, doc, start = h[head], c[head], doc[head], start[head] if spec.same else np.zeros(len(head), np.int64)  # only needed for order inside a document
         rows = [{"bucket": int(h[p[0]] % U(buckets)), "cell": cell, "b_h": tb.pack(h[p], 6), "b_c": tb.pack(c[p], 6), "b_doc": tb.pack(doc[p], 8), "b_start": tb.pack(start[p], 5), "b_more": np.packbits(more[p]).tobytes()} for p in _parts((h % U(buckets)).astype(np.int64))]
-        return _blob(rows, ["b_h", "b_c", "b_doc", "b_start", "b_more"], "bucket")
+        return _blob(rows, ["b_h", "b_c", "b_doc", "b_start", "b_more"], "bucket", "cell")
 
     return cell_entries
 

@@ -22,8 +22,6 @@ from .suffix_array import adjacent_prefixes, two_stage
 
 SPEC = repeats.Spec(width=50, k=20, elements="bytes", same=False)
 SEPARATOR = 0xFF  # in no UTF-8 text
-#: Bytes that are sorted at once.
-SORTED_AT_ONCE = 4 << 20
 
 
 def _first_document(x: np.ndarray, bounds: np.ndarray, doc: np.ndarray, spec: repeats.Spec) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +46,6 @@ def verify(x: np.ndarray, bounds: np.ndarray, doc: np.ndarray, start: np.ndarray
 
 
 def _finish(rows: pa.Table, t: repeats.Texts, gone: np.ndarray) -> pa.Table:
-    edge = np.diff(np.concatenate(([0], gone.astype(np.int8))))
     out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
     for a, b in zip(t.offs[:-1], t.offs[1:]):
         g = gone[a:b]
@@ -59,7 +56,6 @@ def _finish(rows: pa.Table, t: repeats.Texts, gone: np.ndarray) -> pa.Table:
         out["n_spans"].append(len(first))
         out["kept_sha256"].append(hashlib.sha256(t.data[a:b][~g].tobytes()).hexdigest())
         out["spans"].append(np.stack([first, end], 1).ravel().tolist())
-    del edge
     return pa.table({"doc_id": rows.column("doc_id"), **{k: pa.array(v, pa.list_(pa.int64()) if k == "spans" else pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}})
 
 
