@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_lattice_dedup": op10_lattice_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
