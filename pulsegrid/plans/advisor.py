@@ -6,11 +6,12 @@ is walked back until enough clean time is in it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.samples import CHUNK, SESSION, by_session  # noqa: F401
-from pyspark.sql import Window
+from ..operators.kernels import Columns, Kernel
+from ..operators.samples import CHUNK, INDEX, SESSION
 
 # The defaults of a policy.
 LOW, HIGH, WATCH_S, BETWEEN_S, SETTLE_S, GUARD_MAX = 0.50, 0.75, 120.0, 180.0, 60.0, 0.15
@@ -42,13 +43,13 @@ def evidence(counts: DataFrame, watch: int, horizon: int, names: list[str]) -> D
     return counts.withColumn("_e", F.aggregate(frame, zero, add)).select(SESSION, CHUNK, *names, *[F.col(f"_e.{n}").alias(f"{n}_w") for n in names])
 
 
-def decide(evidence_: DataFrame, watch: int, guards: list[str], low: float = LOW, high: float = HIGH, guard_max: float = GUARD_MAX, settle_chunks: int = 0) -> DataFrame:
-    """advice of each chunk: idle, settling, guarded, collecting, no_reward, easier, hold or harder."""
+def decide(evidence_: DataFrame, watch: int, guards: list[str], low: float = LOW, high: float = HIGH, guard_max: float = GUARD_MAX, settle_chunks: int = 0, has_reward: bool = True) -> DataFrame:
+    """advice of each chunk: idle, settling, guarded, collecting, observing (the protocol has no reward condition), easier, hold or harder."""
     rate = F.when(F.col("n_clean_w") > 0, F.col("n_cond_w") / F.col("n_clean_w"))
     guard = F.greatest(F.lit(0.0), *[F.when(F.col("n_train_w") > 0, F.col(f"{g}_n_w") / F.col("n_train_w")).otherwise(0.0) for g in guards]) if guards else F.lit(0.0)
     advice = (
         F.when(F.col("n_train") == 0, "idle").when(F.col(CHUNK) < settle_chunks, "settling").when(guard > guard_max, "guarded").when(F.col("n_clean_w") < watch, "collecting")
-        .when(F.col("n_cond_w") == 0, "no_reward").when(rate < low, "easier").when(rate > high, "harder").otherwise("hold")
+        .when(F.lit(not has_reward), "observing").when(rate < low, "easier").when(rate > high, "harder").otherwise("hold")
     )
     return evidence_.select(SESSION, CHUNK, "n_clean_w", "n_cond_w", rate.alias("pass_rate"), guard.alias("guard_rate"), advice.alias("advice"))
 
@@ -65,3 +66,39 @@ def propose(value: Column, advice: Column, step: float, low: float, high: float,
     sign = F.when(advice == "harder", 1.0 if harder_is_up else -1.0).when(advice == "easier", -1.0 if harder_is_up else 1.0).otherwise(0.0)
     moved = F.round((value + sign * step) / step) * step
     return F.least(F.greatest(F.when(sign == 0, value).otherwise(moved), F.lit(low)), F.lit(high))
+
+
+def propose_proportional(value: Column, advice: Column, share: float, round_to: float, low: float, high: float, harder_is_up: bool = True) -> Column:
+    """A share of the value towards the advice, snapped and kept within limits."""
+    up = 1.0 if harder_is_up else -1.0
+    factor = F.when(advice == "harder", 1.0 + up * share).when(advice == "easier", 1.0 - up * share)
+    moved = F.least(F.greatest(F.round(value * factor / round_to) * round_to, F.lit(low)), F.lit(high))
+    return F.when(factor.isNull(), value).otherwise(moved)
+
+
+class Suggestions(Kernel):
+    """Which advice is given: one suggestion, then none for ``between`` chunks; one in the other direction right after the last is a reversal."""
+
+    def __init__(self, direction: str, between: int):
+        self.inputs, self.outputs = [direction], {"suggested": "boolean", "reversal": "boolean"}
+        self.between, self.at, self.last, self.way = between, 0, None, 0.0
+
+    def step(self, c: Columns) -> Columns:
+        given, back = [], []
+        for d in c[self.inputs[0]].tolist():
+            fire = d != 0 and (self.last is None or self.at - self.last >= self.between)
+            given.append(fire)
+            back.append(fire and self.way == -d)
+            if fire:
+                self.last, self.way = self.at, d
+            self.at += 1
+        return {"suggested": np.array(given, bool), "reversal": np.array(back, bool)}
+
+
+def suggest(decisions: DataFrame, between: int) -> DataFrame:
+    """decide()'s rows with suggested and reversal."""
+    from ..operators.host import with_kernels
+
+    d = decisions.withColumn("direction", F.when(F.col("advice") == "harder", 1.0).when(F.col("advice") == "easier", -1.0).otherwise(0.0))
+    rows = d.withColumn(INDEX, F.col(CHUNK)).drop(CHUNK)
+    return with_kernels(rows, [Suggestions("direction", between)]).withColumnRenamed(INDEX, CHUNK).drop("direction")

@@ -387,12 +387,19 @@ _SUMS = ["n_train", "n_clean", "n_cond", "loud_n", "calm_n", "emg_n"]
 @query(f"""WITH {SIG}, {_BUCKET}, pairs AS (SELECT c.session_id, c.chunk_id, j.chunk_id AS back, {', '.join(f'sum(j.{n}) OVER (PARTITION BY c.session_id, c.chunk_id ORDER BY j.chunk_id DESC) AS {n}' for n in _SUMS)}, j.n_clean AS own FROM b c JOIN b j ON c.session_id = j.session_id AND j.chunk_id BETWEEN c.chunk_id - 5 AND c.chunk_id),
 e AS (SELECT * FROM pairs WHERE n_clean - own < 12 QUALIFY row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY back) = 1),
 d AS (SELECT b.session_id, b.chunk_id, b.n_train, e.n_clean::BIGINT AS n_clean_w, e.n_cond::BIGINT AS n_cond_w, CASE WHEN e.n_clean > 0 THEN e.n_cond / e.n_clean END AS rate, CASE WHEN e.n_train > 0 THEN e.emg_n / e.n_train ELSE 0.0 END AS guard FROM b JOIN e USING (session_id, chunk_id))
-SELECT session_id, chunk_id, n_clean_w, n_cond_w, round(rate, 6) AS pass_rate, round(guard, 6) AS guard_rate, CASE WHEN n_train = 0 THEN 'idle' WHEN guard > 0.15 THEN 'guarded' WHEN n_clean_w < 12 THEN 'collecting' WHEN n_cond_w = 0 THEN 'no_reward' WHEN rate < 0.5 THEN 'easier' WHEN rate > 0.75 THEN 'harder' ELSE 'hold' END AS advice FROM d""")
+SELECT session_id, chunk_id, n_clean_w, n_cond_w, round(rate, 6) AS pass_rate, round(guard, 6) AS guard_rate, CASE WHEN n_train = 0 THEN 'idle' WHEN guard > 0.15 THEN 'guarded' WHEN n_clean_w < 12 THEN 'collecting' WHEN rate < 0.5 THEN 'easier' WHEN rate > 0.75 THEN 'harder' ELSE 'hold' END AS advice FROM d""")
 def advisor_decisions(spark, sf):
     e = advisor.evidence(_buckets(spark, sf), 12, 6, _SUMS)
     return advisor.decide(e, 12, ["emg"]).withColumn("pass_rate", F.round("pass_rate", 6)).withColumn("guard_rate", F.round("guard_rate", 6))
 
 
+@query()
+def advisor_suggestions(spark, sf):
+    e = advisor.evidence(_buckets(spark, sf), 12, 6, _SUMS)
+    d = advisor.suggest(advisor.decide(e, 12, ["emg"]), 2)
+    return d.select("session_id", "chunk_id", "advice", "suggested", "reversal")
+
+
 @query(f"""WITH {SIG}, f AS (SELECT session_id, sample_idx, unnest([x, x * 0.5, x + sample_idx % 3]) AS v FROM s) SELECT session_id::VARCHAR AS session_id, sample_idx, bool_and(v > 25) AS all_sites FROM f GROUP BY ALL""")
 def site_fan_out(spark, sf):
     x = F.col("x")

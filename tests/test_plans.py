@@ -116,3 +116,33 @@ def test_limiter_and_step(spark):
     lim = advisor.limiter(F.col("advice"), {"a": F.lit(0.2), "b": F.lit(0.9)})
     rows = df.select(lim.alias("l"), advisor.propose(F.col("v"), F.col("advice"), 0.5, 0.0, 1.2).alias("p")).collect()
     assert [(r.l, r.p) for r in rows] == [("a", 0.5), ("b", 1.2), (None, 1.0)]
+
+
+def test_suggestions_wait_and_reverse(spark):
+    rows = [(1, i, a) for i, a in enumerate(["hold", "harder", "harder", "hold", "easier", "easier", "harder"])]
+    df = spark.createDataFrame(rows, "session_id long, chunk_id long, advice string")
+    got = advisor.suggest(df, 3).orderBy("chunk_id").collect()
+    assert [r.suggested for r in got] == [False, True, False, False, True, False, False]
+    assert [r.reversal for r in got] == [False, False, False, False, True, False, False]
+
+
+def test_requirements(samples):
+    from pulsegrid.plans import requirements as R
+
+    assert R.sample_rate(200, [128, 256, 512]) == 512 and R.sample_rate(None, None) == 256 and R.sample_rate(100, None) == 100
+    assert R.channels(samples, ["all"], {"all": ["x"]}) == ["x"]
+    for bad in (lambda: R.sample_rate(1000, [256]), lambda: R.channels(samples, ["Cz"])):
+        with pytest.raises(R.RequirementError):
+            bad()
+
+
+def test_custom_functions(samples):
+    from pulsegrid.functions import custom
+
+    custom.function("twice")(_twice)
+    rows = samples.select("x", custom.FUNCTIONS["twice"](F.col("x")).alias("y")).limit(5).collect()
+    assert all(r.y == 2 * r.x for r in rows)
+
+
+def _twice(x: pd.Series) -> pd.Series:
+    return x * 2
