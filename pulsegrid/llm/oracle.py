@@ -32,11 +32,11 @@ FROM d LEFT JOIN g USING (rid)"""
 
 BYTES = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100),
-w AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, (2 * i + 1)::INT, 100)) < doc_id AS again FROM p),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w WHERE again),
-every AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d WHERE len(h) > 0),
-k AS (SELECT e.doc_id, e.i, substr(h, (2 * e.i + 1)::INT, 2) AS b, g.i IS NOT NULL AS g FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i, unnest(list_transform(range(0, len(h) // 2 - 49), lambda j: unhex(substr(h, (2 * j + 1)::INT, 100)))) AS s FROM d WHERE len(h) >= 100),
+f AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM p JOIN f USING (s) WHERE least < doc_id),
+every AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, unnest(list_transform(range(0, len(h) // 2), lambda j: substr(h, (2 * j + 1)::INT, 2))) AS b FROM d WHERE len(h) > 0),
+k AS (SELECT e.doc_id, e.i, b, g.i IS NOT NULL AS g FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
 l AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM k),
 a AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT g) AS kept FROM l GROUP BY doc_id)
 SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
@@ -52,9 +52,9 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
 
 WORDS = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_GRAPH}') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
-x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM p),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM x WHERE again),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda j: sha256(array_to_string(w[j:j + 19], ' ')))) AS s FROM d WHERE len(w) >= 20),
+f AS (SELECT s, min({{'d': doc_id, 'i': i}}) AS first FROM p GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM p JOIN f USING (s) WHERE (doc_id, i) <> (first.d, first.i)),
 every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 k AS (SELECT e.doc_id, e.i, word, g.i IS NOT NULL AS g FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
 a AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT g) AS kept FROM k GROUP BY doc_id)
