@@ -91,10 +91,13 @@ def test_jaccard_join(spark, corpus):
     assert len({c for _, c in got.values()}) < len(corpus)
 
 
-def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, rounds):
     from pulsegrid.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)  # the second round has to find the rest
+    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)  # later rounds have to find the rest
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
     rng = random.Random(2)
     docs = []
     for g in range(6):
