@@ -91,13 +91,12 @@ def test_jaccard_join(spark, corpus):
     assert len({c for _, c in got.values()}) < len(corpus)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("block", [3, 500])
+def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, block):
     from pulsegrid.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)  # later rounds have to find the rest
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     rng = random.Random(2)
     docs = []
     for g in range(6):
