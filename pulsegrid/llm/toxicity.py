@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,24 @@ AS_LETTER, AS_BOUNDARY, ONCE, TWICE, JOIN, PART = 0.5, 5.0, 0.0, 1.0, 0.2, 6.0
 _SIGNS = regex.escape("".join(LEET))
 TOKEN = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:\p{{L}}(?:[ .\-_*]{{1,2}}\p{{L}}){{3,}}(?!\p{{L}})|[\p{{L}}{_SIGNS}]*\p{{L}}[\p{{L}}{_SIGNS}]*)")
 SPACED = regex.compile(r"\p{L}(?:[ .\-_*]{1,2}\p{L})+")
+#: Signs that end a token without standing for a letter.
+TAIL = "!|+*("
+#: Classes of characters, as bits; readings of longer tokens aren't remembered.
+LETTER, NUMBER, SIGN, TAILED, GAP = 1, 2, 4, 8, 16
+REMEMBERED = 64
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Class and small letter of each code point; planes from 4 on have no letters or numbers."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))
+    kind, small = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for bit, chars in ((LETTER, regex.findall(r"\p{L}", every)), (NUMBER, regex.findall(r"\p{N}", every)), (SIGN, LEET), (TAILED, TAIL), (GAP, " .-_*")):
+        kind[[ord(c) for c in chars]] |= bit
+    for i in np.flatnonzero(kind & LETTER).tolist():
+        small[i] = ord(chr(i).lower()[0])
+    small[0x3C2] = 0x3C3  # both small sigmas
+    return kind, small
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -88,8 +107,9 @@ class CharModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Slots of (letters, channel cost); '' is nothing and ' ' a boundary."""
+    """Slots of (letters, channel cost); '' is nothing and ' ' a boundary. Among spaced letters, a wider gap than the least one may as well be a boundary."""
     spaced = SPACED.fullmatch(token) is not None
+    least = min(map(len, regex.findall(r"\P{L}+", token))) if spaced else 0
     slots: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -98,7 +118,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while j < len(token) and token[j] == ch:
             j += 1
         if spaced and not ch.isalpha():
-            slots.append([("", JOIN), (" ", PART)])
+            while j < len(token) and not token[j].isalpha():
+                j += 1
+            slots.append([("", JOIN), (" ", PART if j - i == least else JOIN)])
             i = j
         elif ch in LEET:
             slots.append([(x, AS_LETTER) for x in LEET[ch]] + [(" ", AS_BOUNDARY)])
@@ -113,22 +135,31 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(slots: list[list[tuple[str, float]]], model: CharModel) -> str:
-    """The cheapest path through a lattice, between word boundaries; states are the last two symbols."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest path through a lattice, between word boundaries; states are the last two symbols, with the path that leads there."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*slots, [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for letters, price in options:
             symbols = [int(SYMBOL[b]) for b in letters.encode()]
-            for (a, b), (cost, out) in states.items():
+            for (a, b), (cost, path) in states.items():
                 cost += price
                 for s in symbols:
                     cost += model.cost(a, b, s)
                     a, b = b, s
                 if (a, b) not in new or cost < new[a, b][0]:
-                    new[a, b] = (cost, out + letters)
+                    new[a, b] = (cost, (path, letters) if letters else path)
         # the cheapest states are kept: a lattice of n slots never has more than this many live ones
         states = new if len(new) <= 64 else dict(sorted(new.items(), key=lambda x: x[1][0])[:64])
-    return min(states.values())[1].strip()
+    least = min(cost for cost, _ in states.values())
+    return min(_spelled(path) for cost, path in states.values() if cost == least).strip()
+
+
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -136,36 +167,56 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
-        signs = "".join(LEET)
-        self.sign = np.zeros(256, bool)
-        self.sign[[ord(c) for c in signs if ord(c) < 128]] = True
 
     def suspects(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Texts that have any token worth a lattice."""
-        x = lower(data)
-        letter = LETTERS[x]
-        n = len(x)
-        flag = np.zeros(n, bool)
-        if n > 4:
-            flag[:-1] |= self.sign[x[:-1]] & letter[1:]  # a sign before a letter
-            flag[2:] |= (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & letter[2:] & (x[2:] < 128)
-            alone = letter.copy()
-            alone[1:] &= ~letter[:-1]
-            alone[:-1] &= ~letter[1:]
-            flag[4:] |= alone[4:] & alone[2:-2] & alone[:-4]
-        at = np.searchsorted(offs, np.flatnonzero(flag), "right") - 1
-        return np.unique(at)
+        """Texts that have any token worth a lattice, by the rules of TOKEN and read()."""
+        found = [i + self._odd(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in _rows(offs, 1 << 19)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        try:
+            code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        except UnicodeDecodeError:
+            return np.arange(len(offs) - 1)
+        starts = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]
+        code = np.insert(code, starts[:-1], 10)  # a line end before each text
+        starts = starts + np.arange(len(starts))
+        kind, small = _characters()
+        k, x = np.append(kind[code], np.uint8(0)), small[code]
+        letter, sign, tail = (k & LETTER) > 0, (k & SIGN) > 0, (k & TAILED) > 0
+        at = []
+        # runs of letters and signs that have a letter and a sign before their tail
+        run = letter | sign
+        inner = sign & ~tail
+        inner[:-1] |= tail[:-1] & run[1:] & ~tail[1:]
+        edge = np.diff(run.astype(np.int8), prepend=np.int8(0))
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        letters, inners = (np.concatenate(([0], np.cumsum(m))) for m in (letter, inner))
+        at.append(first[(letters[end] > letters[first]) & (inners[end] > inners[first])])
+        # a letter three times
+        if len(x) > 2:
+            at.append(np.flatnonzero((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & letter[2:-1]))
+        # four single letters with gaps of one or two between them
+        spot = np.flatnonzero(letter)
+        if len(spot) > 3:
+            gaps = np.concatenate(([0], np.cumsum((k & GAP) > 0)))
+            far = np.diff(spot)
+            near = (far >= 2) & (far <= 3) & (gaps[spot[1:]] - gaps[spot[:-1]] == far - 1)
+            begin = (k[spot[:-3] - 1] & (LETTER | NUMBER)) == 0
+            at.append(spot[:-3][near[:-2] & near[1:-1] & near[2:] & begin & ~letter[spot[3:] + 1]])
+        return np.unique(np.searchsorted(starts, np.concatenate(at), "right") - 1)
 
     def read(self, token: str) -> str:
         low = token.lower()
         got = self.known.get(low)
         if got is None:
-            core = low.rstrip("!|+*(")
+            core = low.rstrip(TAIL)
             odd = SPACED.fullmatch(core) or any(c in LEET for c in core) or any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
-            got = viterbi(lattice(core), self.model) if odd and any(c.isalpha() for c in core) and len(core) <= 64 else low
+            got = viterbi(lattice(core), self.model) if odd and any(c.isalpha() for c in core) else low
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[low] = got
+            if len(low) <= REMEMBERED:
+                self.known[low] = got
         return got
 
     def restore(self, text: str) -> str:

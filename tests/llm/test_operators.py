@@ -346,6 +346,29 @@ def test_toxicity(spark):
     assert {r.predicted for r in score(d, none).collect()} == {0}
 
 
+ODD = ["i--d--i--o--t", "a$$", "hat3", "l€mon", "euro€", "жжЖ", "ééé", "wo|w", "a b c d", "3 a  b.c_d!"]
+
+
+@pytest.mark.parametrize("form", [*ODD, "y o u  a r e  a n  i d i o t " * 20, "idio" + "t" * 100])
+def test_suspects_are_the_texts_of_odd_tokens(form):
+    from pulsegrid.llm import textblock, toxicity as T
+
+    plain = ["", "wow! (2024) it's", "a b c de", "xa b c d", "aa bb (", "€ 30"]
+    data, offs = textblock.buffers(T.pa.array([*plain, form, "x", f"so {form}", "y"]))
+    assert T.Restorer(T.CharModel({})).suspects(data, offs).tolist() == [len(plain), len(plain) + 2]
+
+
+def test_toxicity_reads_long_tokens(spark):
+    from pulsegrid.llm.toxicity import Restorer, fit, score
+
+    docs, d, labels = _toxic_table(spark)
+    model = fit(d, labels, F.lit(True))
+    spaced = "h e  t o l d  t h e  m a n  w i t h  t h a t  h a n d  i d i o t  a n d  t h a t  m o r o n"
+    rows = [(0, spaced), (1, "i" + "d" * 100 + "iot with mor" + "o" * 90 + "n"), (2, "i--d--i--o--t and m--o--r--o--n"), (3, "h a n d " * 5000)]
+    assert {"idiot", "moron"} <= set(Restorer(model.chars).restore(spaced).split())
+    assert [r.predicted for r in sorted(score(table(spark, rows), model).collect(), key=lambda r: r.doc_id)] == [1, 1, 1, 0]
+
+
 def test_empty_tables(spark, corpus):
     import public_tokenizers as P
 
