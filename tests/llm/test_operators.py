@@ -413,3 +413,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2][600].text.split() == ["lead", "words", "tail"]
     assert "hunter2" not in seen[3][602].text and "[SECRET]" in seen[3][602].text
     assert {i: (r.n_tokens, r.ids_sha256) for i, r in seen[4].items()} == {r.doc_id: (r.n_tokens, r.ids_sha256) for r in C.run(spark, str(tmp_path)).collect()}
+
+
+def test_pipeline_near_copies_of_five_words(spark):
+    import corpus_pipeline as C
+    from pulsegrid.llm.jaccard_join import join
+
+    rng = random.Random(6)
+    docs = []
+    for n in (17, 21, 23, 26):  # 0.873, 0.845, 0.831, 0.811 on four words; 0.843, 0.809, 0.793, 0.769 on five
+        w = [f"d{n}w{i}" for i in range(1000)]
+        docs.append((len(docs), " ".join(w)))
+        for i in rng.sample(range(20, 980, 10), n):
+            w[i] = f"x{i}"
+        docs.append((len(docs), " ".join(w)))
+    assert {i: c for i, (_, c) in brute.jaccard_components(docs).items()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
+    assert {r.doc_id: r.component_id for r in join(table(spark, docs)).collect()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
+    assert {i for i, (_, c) in brute.jaccard_components(docs, 5, 80, 100).items() if c == i} == {0, 2, 4, 5, 6, 7}
+    assert {r.doc_id for r in C.drop_near_copies(spark, table(spark, docs), "").collect()} == {0, 2, 4, 5, 6, 7}
