@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import tables, textblock as tb
 from .fm_index import FMIndex
@@ -154,20 +155,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the words of benchmark windows (from the first to the last of each span); n_chars follows the text, clean rows stay as they are."""
-    cols, kinds = docs.columns, docs.schema
+    """docs without the words of benchmark windows (from the first to the last of each span); n_chars follows the text, clean rows stay as they are.
+
+    Each block of the benchmark adds its spans to those of the blocks before it; the text is cut once, after the last one.
+    """
+    cols, kinds, marks = docs.columns, docs.schema, "__pg_spans"
     spark = docs.sparkSession
     width, item_id, item_text = options.get("width", WIDTH), options.get("item_id", "item_id"), options.get("item_text", "text")
     blocks = max(1, -(-tables.text_bytes(benchmark, item_text) // options.get("block_bytes", BLOCK_BYTES)))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
+    marked = StructType([*kinds.fields, StructField(marks, ArrayType(LongType()))])
     out = docs
     for b in range(blocks):
         w = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], width))
 
-        def cut(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+        def cut(batches: Iterator[pa.RecordBatch], w=w, first=b == 0, last=b == blocks - 1) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 col = x.column(text)
                 data, offs = tb.buffers(col)
+                spans: list[list[int]] = [[] for _ in range(x.num_rows)] if first else [v or [] for v in x.column(marks).to_pylist()]
                 new: dict[int, str] = {}
                 for i, j, a, b in tb.slices(offs, 0, SHARD_BYTES):
                     if a != offs[i]:
@@ -176,27 +182,36 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
                     s, e, h = tb.words(data[a:b], offs[i : j + 1] - a, ALNUM, True)
                     bounds = np.searchsorted(s, offs[i : j + 1] - a)
                     hit, _ = search_shard(h, bounds, w.value)
-                    for k in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1):
+                    for k in range(j - i):
+                        for f, l in zip(spans[i + k][::2], spans[i + k][1::2]):
+                            hit[bounds[k] + f : bounds[k] + l] = True
+                    for k in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1).tolist():
                         p, q = bounds[k], bounds[k + 1]
-                        keep = np.ones(int(offs[i + k + 1] - offs[i + k]), bool)
                         on = np.diff(np.concatenate(([0], hit[p:q].astype(np.int8), [0])))
+                        ends = np.stack([np.flatnonzero(on == 1), np.flatnonzero(on == -1)], 1)
+                        if not last:
+                            spans[i + k] = ends.ravel().tolist()
+                            continue
+                        keep = np.ones(int(offs[i + k + 1] - offs[i + k]), bool)
                         base = offs[i + k] - a
-                        for f, l in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1)):
+                        for f, l in ends:
                             keep[s[p + f] - base : e[p + l - 1] - base] = False
                         new[int(i + k)] = data[offs[i + k] : offs[i + k + 1]][keep].tobytes().decode("utf-8")
+                arrays = {c: x.column(c) for c in cols}
+                if not last:
+                    yield pa.record_batch([*arrays.values(), pa.array(spans, pa.list_(pa.int64()))], [*cols, marks])
+                    continue
                 if new:
                     texts = col.to_pylist()
                     for k, v in new.items():
                         texts[k] = v
-                    arrays = {c: x.column(c) for c in cols}
                     arrays[text] = pa.array(texts, col.type)
                     if "n_chars" in arrays and pa.types.is_integer(arrays["n_chars"].type):
                         n = arrays["n_chars"].to_pylist()
                         for k, v in new.items():
                             n[k] = len(v)
                         arrays["n_chars"] = pa.array(n, x.column("n_chars").type)
-                    x = pa.record_batch([arrays[c] for c in cols], cols)
-                yield x
+                yield pa.record_batch([arrays[c] for c in cols], cols)
 
-        out = out.mapInArrow(cut, kinds)
+        out = out.mapInArrow(cut, kinds if b == blocks - 1 else marked)
     return out

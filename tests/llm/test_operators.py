@@ -138,6 +138,22 @@ def test_decontamination(spark, corpus):
     assert clean[60] == (clean[60][0], len(clean[60][0])) and "ONE" not in clean[60][0] and clean[60][0].startswith("Was it ")
 
 
+def test_remove_is_the_same_for_any_blocks(spark):
+    from pulsegrid.llm.decontaminate import remove
+
+    docs, items = [(900, None), (901, "")], []
+    for d in range(12):
+        w = [f"d{d}w{k}" for k in range(60)]
+        docs.append((d, " ".join(w)))
+        # windows that overlap, and one that is there only once the words between have gone
+        items += [(3 * d, " ".join(w[10:22])), (3 * d + 1, " ".join(w[17:30])), (3 * d + 2, " ".join(w[5:10] + w[30:35]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    text = lambda n: {r.doc_id: (r.text, r.n_chars) for r in remove(table(spark, docs), bench, block_bytes=n).collect()}
+    one = text(1 << 20)
+    assert one[3][0].split() == [f"d3w{k}" for k in range(60) if not 10 <= k < 30] and one[900][0] is None and one[901][0] == ""
+    assert text(900) == one
+
+
 def test_fm_index():
     from pulsegrid.llm.fm_index import FMIndex
 
