@@ -7,12 +7,18 @@ pair of minimum rank until no piece has a pair left. A piece that is a token as
 a whole takes it at once. Decoding joins token rows with the vocabulary and
 aggregates bytes in order of position.
 
-Pieces over LONG bytes contract all leftmost non-overlapping pairs of the
-minimum rank in a round, which gives the same tokens in fewer rounds.
+Pieces over LONG bytes contract, in a round, every pair whose rank is the least
+within the longest token's length around it: no token that grows elsewhere can
+reach it before, so the tokens are the same, and rounds don't grow with the
+piece. Equal pairs there go at once (neighbouring ones every second, from the
+left); but where the piece holds a token that could come of theirs at a smaller
+rank, only the leftmost goes.
 
 Null and empty texts have no tokens; special tokens are ordinary text; repeated
-rows give repeated rows; extra columns are ignored. The pieces that a task
-remembers and the rows of one query are bounded. The vocabulary file's path is
+rows give repeated rows; extra columns are ignored; an empty table gives no
+rows; null ids stay null. Texts are taken in slices of about a million
+characters, a longer text alone. The pieces that a task remembers and the bytes
+of one query are bounded; one piece of a text is never cut. The vocabulary file's path is
 a parameter that every worker can read; a fixed file, never copied.
 """
 
@@ -30,40 +36,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 128
-#: Pieces in one encoding query, pieces that a task remembers, tokens in one decoding query.
-PIECES, REMEMBERED, TOKENS = 40_000, 400_000, 400_000
+#: Bytes of the pieces in one encoding query (a longer piece is alone), pieces that a task remembers, tokens in one decoding query.
+PIECE_BYTES, REMEMBERED, TOKENS = 400_000, 400_000, 400_000
 
+# k is the row's piece and position in it (piece << 32 | position), b the least (rank << 32 | position) of a piece.
 STEP = """
-with recursive step(w, p, t, live) as (
-  select w, p, t, true from piece_bytes
+with recursive step(k, t, live) as (
+  select k, t, true from piece_bytes
   union all
-  (with rows_ as (
-     select s.w, s.p, s.t, s.before, m.id
-     from (select w, p, t, lead(t) over o as next, lag(p) over o as before from step where live window o as (partition by w order by p)) s
-     left join merges m on m.l = s.t and m.r = s.next),
-   best as (select w, min(id::bigint * 1099511627776 + p) as b from rows_ where id is not null group by w)
-   select q.w, q.p, case when q.p = b % 1099511627776 then (b // 1099511627776)::int else q.t end, b is not null
-   from rows_ q left join best using (w)
-   where b is null or q.before is null or q.before <> b % 1099511627776)
+  (with pairs as (
+     select s.k, s.t, s.before, m.id
+     from (select k, t, lead(t) over o as next, lead(k) over o as after, lag(k) over o as before from step where live window o as (order by k)) s
+     left join merges m on m.pair = s.t::bigint << 16 | s.next and s.k >> 32 = s.after >> 32),
+   best as (select k >> 32 as w, min(id::bigint << 32 | (k & 4294967295)) as b from pairs where id is not null group by 1),
+   pick as (select w, w << 32 | (b & 4294967295) as spot, (b >> 32)::int as id from best)
+   select q.k, case when q.k = spot then b.id else q.t end, spot is not null
+   from pairs q left join pick b on q.k >> 32 = b.w
+   where spot is null or q.before is distinct from spot)
 )
-select w, list(t order by p) as ids from step where not live group by w order by w
+select k, t from step where not live order by k
 """
 STEP_LONG = """
-with recursive step(w, p, t, live) as (
-  select w, p, t, true from piece_bytes
+with recursive step(k, t, live) as (
+  select k, t, true from piece_bytes
   union all
-  (with rows_ as (
-     select s.w, s.p, s.t, m.id, min(m.id) over (partition by s.w) as least
-     from (select w, p, t, lead(t) over (partition by w order by p) as next from step where live) s
-     left join merges m on m.l = s.t and m.r = s.next),
-   marked as (
-     select *, coalesce(id = least, false) as hit, row_number() over (partition by w order by p) - row_number() over (partition by w, coalesce(id = least, false) order by p) as island from rows_),
-   chosen as (
-     select *, hit and row_number() over (partition by w, hit, island order by p) % 2 = 1 as takes from marked),
-   after_ as (select *, lag(takes) over (partition by w order by p) as taken from chosen)
-   select w, p, case when takes then id else t end, least is not null from after_ where taken is not true)
+  (with pairs as (
+     select s.k, s.t, m.id
+     from (select k, t, lead(t) over o as next, lead(k) over o as after from step where live window o as (order by k)) s
+     left join merges m on m.pair = s.t::bigint << 16 | s.next and s.k >> 32 = s.after >> 32),
+   near as (select *, min(id::bigint << 32 | (k & 4294967295)) over (partition by k >> 32 order by k range between {longest} preceding and 2 * {longest} following) as b, max(id) over (partition by k >> 32) as any_id from pairs),
+   hits as (
+     select n.k, t, n.id, any_id, coalesce(n.id = b >> 32 and (r.id is null or n.k & 4294967295 = b & 4294967295), false) as hit
+     from near n left join risky r on r.w = n.k >> 32 and r.id = n.id),
+   marked as (select *, row_number() over (partition by k >> 32 order by k) - row_number() over (partition by k >> 32, id order by k) as run from hits),
+   chosen as (select k, t, id, any_id, bool_and(hit) over o and row_number() over o % 2 = 1 as takes from marked window o as (partition by k >> 32, id, run order by k)),
+   after_ as (select *, lag(takes) over (partition by k >> 32 order by k) as taken from chosen)
+   select k, case when takes then id else t end, any_id is not null from after_ where taken is not true)
 )
-select w, list(t order by p) as ids from step where not live group by w order by w
+select k, t from step where not live order by k
 """
 DECODE = "select d, list(b order by p) as bytes from (select x.d, x.p, v.b from token_rows x join vocabulary v on v.id = x.id) group by d order by d"
 
@@ -83,10 +93,13 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern).findall
         self.ranks = read_ranks(path)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        l, r, i = (pa.array(x, pa.int32()) for x in zip(*pairs))
-        self._create("merges", pa.table({"l": l, "r": r, "id": i}))
+        self.step_long = STEP_LONG.format(longest=max(map(len, self.ranks)))
+        l, r, i = (np.array(x, np.int64) for x in zip(*pairs))
+        self._create("merges", pa.table({"pair": l << 16 | r, "id": i.astype(np.int32)}))
+        # tokens that may merge further at a smaller rank than their own, and the bytes that come of it
+        self.early = [(int(m), b) for b, n in self.ranks.items() for k in range(1, len(b)) for m in (self.ranks.get(b[:k]), self.ranks.get(b[k:])) if m is not None and m > n]
         self._create("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "b": pa.array(list(self.ranks), pa.binary())}))
         self.byte_token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
@@ -105,22 +118,25 @@ class Codec:
         n = np.array([len(b) for b in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-        self.con.register("piece_bytes", pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), n), "p": place, "t": self.byte_token[data]}))
-        ids = _lists(self.con.sql(sql).to_arrow_table().column("ids"))
+        self.con.register("piece_bytes", pa.table({"k": np.repeat(np.arange(len(pieces)) << 32, n) | place, "t": self.byte_token[data]}))
+        if sql is self.step_long:
+            risky = [(w, m) for w, b in enumerate(pieces) for m in {m for m, t in self.early if t in b}]
+            self.con.register("risky", pa.table({"w": pa.array([w for w, _ in risky], pa.int64()), "id": pa.array([m for _, m in risky], pa.int32())}))
+        got = self.con.sql(sql).to_arrow_table()
         self.con.unregister("piece_bytes")
-        return np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy().astype(np.uint32)
+        return np.bincount(got.column("k").to_numpy() >> 32, minlength=len(pieces)), got.column("t").to_numpy().astype(np.uint32)
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that have no number yet."""
         base = len(self.number)
         raw = [p.encode() for p in pieces]
         parts: list[tuple[int, np.ndarray]] = []
-        todo: dict[str, list[int]] = {STEP: [], STEP_LONG: []}
+        todo: dict[str, list[int]] = {STEP: [], self.step_long: []}
         for i, b in enumerate(raw):
             if (t := self.ranks.get(b)) is not None:
                 parts.append((i, np.array([t], np.uint32)))
             else:
-                todo[STEP if len(b) <= LONG else STEP_LONG].append(i)
+                todo[STEP if len(b) <= LONG else self.step_long].append(i)
         for sql, which in todo.items():
             if which:
                 n, flat = self._contract([raw[i] for i in which], sql)
@@ -147,9 +163,15 @@ class Codec:
         if len(self.number) > REMEMBERED:
             self.forget()
         split = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(p for s in split for p in s if p not in self.number))
-        for i in range(0, len(new), PIECES):
-            self.learn(new[i : i + PIECES])
+        part, size = [], 0
+        for p in set().union(*split).difference(self.number):
+            if part and size + len(p.encode()) > PIECE_BYTES:
+                self.learn(part)
+                part, size = [], 0
+            part.append(p)
+            size += len(p.encode())
+        if part:
+            self.learn(part)
         for s in split:
             w = np.fromiter(map(self.number.__getitem__, s), np.int64, len(s))
             n = self.count[w]
@@ -167,7 +189,7 @@ class Codec:
             n = np.array([len(x) for _, x in rows])
             flat = np.concatenate([x for _, x in rows])
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            self.con.register("token_rows", pa.table({"d": np.repeat(np.arange(len(rows), dtype=np.int32), n), "p": place, "id": flat.astype(np.int32)}))
+            self.con.register("token_rows", pa.table({"d": np.repeat(np.arange(len(rows), dtype=np.int32), n), "p": place.astype(np.int32), "id": flat.astype(np.int32)}))
             got = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("token_rows")
             lists = _lists(got.column("bytes"))
