@@ -7,6 +7,7 @@ partial aggregation. Lineage is cut once a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,21 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vertex with the smallest vertex of its component, for the links of one comparison."""
+    v, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(v))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(v))
+    return v[moved], v[root[moved]]

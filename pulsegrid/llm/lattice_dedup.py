@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
-from .components import components
+from .components import components, forest
 from .repeats import _heads
 from .tables import checkpoint
 
@@ -164,7 +164,7 @@ def _compare(cosine: float):
             a, b = left[p], right[q]
             swap = key[a] > key[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            forest_a, forest_b = _forest(key[a], key[b])
+            forest_a, forest_b = forest(key[a], key[b])
             ea.append(forest_a)
             eb.append(forest_b)
             for part in np.array_split(np.arange(len(a)), max(1, len(a) // 50_000)):
@@ -188,24 +188,6 @@ def _compare(cosine: float):
     return group
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each vertex with the smallest vertex of its component, for the links of one comparison."""
-    v, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(v))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(v))
-    return v[moved], v[root[moved]]
-
-
 def near_dedup(rows: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", tables: int = TABLES, scale: float = SCALE, gap: float = GAP, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     e = F.col("embedding")

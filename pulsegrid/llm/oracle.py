@@ -48,7 +48,7 @@ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_ >= 85 * (na.n + nb.n - both_)),
 l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(v, u) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS component_id FROM r GROUP BY v) c USING (doc_id)"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS component_id FROM r GROUP BY v) c USING (doc_id)"""
 
 WORDS = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_GRAPH}') AS w FROM documents),

@@ -75,12 +75,12 @@ def benchmark_hits(docs, items, width=10):
 
 
 def jaccard_components(docs, gram=4, num=85, den=100):
-    """doc_id -> (n_shingles, component_id)."""
+    """doc_id -> (n_shingles, component_id, n_links)."""
     sets = {}
     for i, t in docs:
         w = GRAPH.findall((t or "").translate(ASCII_LOWER))
         sets[i] = {tuple(w[s : s + gram]) for s in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(i):
         while root[i] != i:
@@ -94,6 +94,8 @@ def jaccard_components(docs, gram=4, num=85, den=100):
                 break
             both = len(sets[i] & sets[j])
             if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    return {i: (len(s), find(i), links[i]) for i, s in sets.items()}

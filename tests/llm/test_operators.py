@@ -86,17 +86,18 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
 def test_jaccard_join(spark, corpus):
     from pulsegrid.llm import jaccard_join
 
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(table(spark, corpus)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(table(spark, corpus)).collect()}
     assert got == brute.jaccard_components(corpus)
-    assert len({c for _, c in got.values()}) < len(corpus)
+    assert len({c for _, c, _ in got.values()}) < len(corpus)
 
 
-@pytest.mark.parametrize("block", [3, 500])
+@pytest.mark.parametrize("block", [3000, 1 << 20])
 def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, block):
     from pulsegrid.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)  # later rounds have to find the rest
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "MEETINGS", 50)
+    monkeypatch.setattr(jaccard_join, "WIDE", 6)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 4000)
     rng = random.Random(2)
     docs = []
     for g in range(6):
@@ -107,17 +108,45 @@ def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, block):
             if k % 3 == 0:
                 w[rng.randrange(100)] = f"y{g}_{k}"
     rng.shuffle(docs)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(table(spark, docs), bucket_bytes=2000).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(table(spark, docs), bucket_bytes=2000, block_bytes=block).collect()}
     assert got == brute.jaccard_components(docs)
 
 
+def test_join_blocks_is_the_plain_join():
+    from pulsegrid.llm.jaccard_join import join_blocks
+
+    rng = np.random.default_rng(3)
+    base = rng.permutation(1 << 20)[:60].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    more = np.arange(1, 500, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    sets = []
+    for _ in range(60):
+        x = set(rng.choice(base, rng.integers(48, 61), replace=False).tolist()) | set(rng.choice(more, rng.integers(0, 5)).tolist())
+        sets.append(np.array(sorted(x), np.uint64))
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    everyone = np.ones(60, bool)
+    a, b = join_blocks(sets, everyone, everyone, True, 85, 100)
+    assert len(a) == len(want) > 20 and set(zip(a.tolist(), b.tolist())) == want
+    left = np.arange(60) < 25
+    a, b = join_blocks(sets, left, ~left, False, 85, 100)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in want if i < 25 <= j}
+
+
+def test_jaccard_join_of_repeated_and_null_rows(spark):
+    from pulsegrid.llm.jaccard_join import join
+
+    text, other = " ".join(f"w{i}" for i in range(300)), " ".join(f"v{i}" for i in range(200_000))
+    d = table(spark, [(7, text), (7, text), (9, text + " end"), (None, text), (None, None), (3, ""), (None, "x y"), (1, other), (2, other + " z")])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in join(d).collect()), key=str)
+    assert got == sorted([(7, 297, 7, 3), (7, 297, 7, 3), (9, 298, 7, 3), (None, 297, 7, 3), (None, 0, None, 0), (3, 0, 3, 0), (None, 1, None, 0), (1, 199_997, 1, 1), (2, 199_998, 1, 1)], key=str)
+
+
 def test_keep_one(spark, corpus):
     from pulsegrid.llm.jaccard_join import keep_one
 
     docs = table(spark, [*corpus, corpus[9], corpus[9]])
     kept = keep_one(docs)
     assert kept.columns == docs.columns
-    want = {i for i, (n, c) in brute.jaccard_components(corpus).items() if n == 0 or c == i}
+    want = {i for i, (n, c, _) in brute.jaccard_components(corpus).items() if n == 0 or c == i}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
@@ -251,6 +280,23 @@ def test_bpe(spark, corpus):
     assert encoded(d, path, P.PATTERN).count() == len(docs)
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "an", "aab", "ing ", "=-", "abcdefghijklmnopqrstuvwxyz"])
+def test_bpe_of_long_words(letters):
+    import public_tokenizers as P
+    import tiktoken
+
+    from pulsegrid.llm.bpe import Codec, read_ranks
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    tik, codec, rng = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={}), Codec(path, P.PATTERN), random.Random(4)
+    for text in (letters * 400, "".join(rng.choice(letters) for _ in range(1500)), "".join(rng.choice(letters) for _ in range(3000))):
+        assert codec.encode(text).tolist() == tik.encode_ordinary(text)
+    if len(letters) == 1:
+        text = letters * 1_000_000  # a word of a million letters
+        ids = codec.encode(text)
+        assert len(ids) == 250_000 and codec.decode_all([ids]) == [text.encode()]
+
+
 def test_lattice_points():
     from pulsegrid.llm.lattice_dedup import ROOTS, nearest_point
 
@@ -371,7 +417,7 @@ def test_suspects_are_the_texts_of_odd_tokens(form):
 
     plain = ["", "wow! (2024) it's", "a b c de", "xa b c d", "aa bb (", "€ 30"]
     data, offs = textblock.buffers(T.pa.array([*plain, form, "x", f"so {form}", "y"]))
-    assert T.Restorer(T.CharModel({})).suspects(data, offs).tolist() == [len(plain), len(plain) + 2]
+    assert T.Restorer(T.CharModel(np.zeros(0, np.int32), np.zeros(0))).suspects(data, offs).tolist() == [len(plain), len(plain) + 2]
 
 
 def test_toxicity_reads_long_tokens(spark):
@@ -443,7 +489,7 @@ def test_pipeline_near_copies_of_five_words(spark):
         for i in rng.sample(range(20, 980, 10), n):
             w[i] = f"x{i}"
         docs.append((len(docs), " ".join(w)))
-    assert {i: c for i, (_, c) in brute.jaccard_components(docs).items()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
+    assert {i: c for i, (_, c, _) in brute.jaccard_components(docs).items()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
     assert {r.doc_id: r.component_id for r in join(table(spark, docs)).collect()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
-    assert {i for i, (_, c) in brute.jaccard_components(docs, 5, 80, 100).items() if c == i} == {0, 2, 4, 5, 6, 7}
+    assert {i for i, (_, c, _) in brute.jaccard_components(docs, 5, 80, 100).items() if c == i} == {0, 2, 4, 5, 6, 7}
     assert {r.doc_id for r in C.drop_near_copies(spark, table(spark, docs), "").collect()} == {0, 2, 4, 5, 6, 7}
