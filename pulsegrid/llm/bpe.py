@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 LONG = 128
 #: Bytes of the pieces in one encoding query (a longer piece is alone), pieces that a task remembers, tokens in one decoding query.
 PIECE_BYTES, REMEMBERED, TOKENS = 400_000, 400_000, 400_000
@@ -237,7 +239,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
                 ids = codec.encode_all(part)
                 yield pa.record_batch([x.column(0).slice(at, len(part)), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(each, "doc_id long, ids array<int>")
+    tables.bounded_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(tables.released(each), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -249,7 +252,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [np.array(i or [], np.int32) for i in x.column(1).to_pylist()]
             yield pa.record_batch([x.column(0), pa.array(codec.decode_all(ids), pa.binary())], ["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(each, "doc_id long, bytes binary")
+    return tokens.select("doc_id", "ids").mapInArrow(tables.released(each), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -263,7 +266,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc
                 back = codec.decode_all(ids)
                 yield pa.record_batch([x.column(0).slice(at, len(part)), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    tables.bounded_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(tables.released(each), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -278,4 +282,5 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
                     raise ValueError("token ids don't decode to their text")
                 yield pa.record_batch([x.column(0).slice(at, len(part)), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids])], ["doc_id", "ids", "n_tokens", "ids_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(each, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string")
+    tables.bounded_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(tables.released(each), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string")

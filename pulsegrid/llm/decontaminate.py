@@ -132,13 +132,14 @@ def _pass(w) -> object:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, n_words, spans (first, end, ... in words) and items of every row of docs."""
     spark = docs.sparkSession
+    tables.bounded_batches(spark)
     blocks = max(1, -(-tables.text_bytes(benchmark, item_text) // block_bytes))
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         w = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in block.collect()], width))  # about block_bytes of text
-        out = out.mapInArrow(_pass(w), SCHEMA)
+        out = out.mapInArrow(tables.released(_pass(w)), SCHEMA)
     return out
 
 
@@ -161,6 +162,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
     """
     cols, kinds, marks = docs.columns, docs.schema, "__pg_spans"
     spark = docs.sparkSession
+    tables.bounded_batches(spark)
     width, item_id, item_text = options.get("width", WIDTH), options.get("item_id", "item_id"), options.get("item_text", "text")
     blocks = max(1, -(-tables.text_bytes(benchmark, item_text) // options.get("block_bytes", BLOCK_BYTES)))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
@@ -213,5 +215,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
                         arrays["n_chars"] = pa.array(n, x.column("n_chars").type)
                 yield pa.record_batch([arrays[c] for c in cols], cols)
 
-        out = out.mapInArrow(cut, kinds if b == blocks - 1 else marked)
+        out = out.mapInArrow(tables.released(cut), kinds if b == blocks - 1 else marked)
     return out

@@ -20,7 +20,7 @@ an input of a score. A null doc_id counts as the empty text in the split.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -33,8 +33,8 @@ from . import tables
 from . import textblock as tb
 from .language_id import _rows, split_of
 
-#: Labelled rows that are learned from, at most (about); features of the model, at most.
-TOXIC, CLEAN, FEATURES = 20_000, 60_000, 100_000
+#: Labelled rows that are learned from, at most (about); they bound the features too.
+TOXIC, CLEAN = 20_000, 60_000
 #: A feature has to be in so many toxic texts, and a word this log-odds, to be strong.
 LEAST, STRONG = 5, 2.5
 #: Symbols: 0 boundary, 1-26 letters, 27-154 bytes beyond ASCII.
@@ -80,30 +80,31 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CharModel:
-    """Log-probabilities of a symbol after two others."""
+    """Costs (negative log-probabilities) of a symbol after two others, from trigram counts: code (first, second, third symbol in base SYMBOLS) and n."""
 
-    counts: dict[int, int]
-    cache: dict[tuple[int, int], tuple[float, dict[int, float]]] = field(default_factory=dict)
+    code: np.ndarray
+    n: np.ndarray
 
     def __post_init__(self) -> None:
-        self.tri: dict[int, dict[int, int]] = {}
-        self.bi: dict[int, dict[int, int]] = {}
-        for code, n in self.counts.items():
-            ab, c = divmod(code, SYMBOLS)
-            self.tri.setdefault(ab, {})[c] = n
-            d = self.bi.setdefault(ab % SYMBOLS, {})
-            d[c] = d.get(c, 0) + n
+        self.table: memoryview | None = None
+
+    def __getstate__(self) -> dict:
+        return {"code": self.code, "n": self.n, "table": None}  # tasks build the table
+
+    def build(self) -> None:
+        if self.table is None:
+            tri = np.zeros(SYMBOLS**3, np.float32)
+            tri[self.code] = self.n
+            tri = tri.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+            bi = tri.sum(0, dtype=np.float64)
+            low = ((bi + 0.1) / (bi.sum(1, keepdims=True) + 0.1 * SYMBOLS)).astype(np.float32)
+            total = tri.sum(2, dtype=np.float64).astype(np.float32)
+            for a in range(SYMBOLS):
+                tri[a] = -np.log((tri[a] + 4 * low) / (total[a][:, None] + 4))
+            self.table = memoryview(tri.reshape(-1))
 
     def cost(self, a: int, b: int, c: int) -> float:
-        t, s = self.tri.get(a * SYMBOLS + b, {}), self.bi.get(b, {})
-        low = (s.get(c, 0) + 0.1) / (sum(s.values()) + 0.1 * SYMBOLS) if (a, b) not in self.cache else 0.0
-        if (a, b) not in self.cache:
-            self.cache[a, b] = (float(sum(t.values())), {})
-        total, known = self.cache[a, b]
-        if c not in known:
-            low = (s.get(c, 0) + 0.1) / (sum(s.values()) + 0.1 * SYMBOLS)
-            known[c] = -float(np.log((t.get(c, 0) + 4.0 * low) / (total + 4.0)))
-        return known[c]
+        return self.table[(a * SYMBOLS + b) * SYMBOLS + c]
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -148,8 +149,7 @@ def viterbi(slots: list[list[tuple[str, float]]], model: CharModel) -> str:
                     a, b = b, s
                 if (a, b) not in new or cost < new[a, b][0]:
                     new[a, b] = (cost, (path, letters) if letters else path)
-        # the cheapest states are kept: a lattice of n slots never has more than this many live ones
-        states = new if len(new) <= 64 else dict(sorted(new.items(), key=lambda x: x[1][0])[:64])
+        states = new  # at most the pairs of last symbols that two slots' options spell: no bound is needed
     least = min(cost for cost, _ in states.values())
     return min(_spelled(path) for cost, path in states.values() if cost == least).strip()
 
@@ -166,6 +166,7 @@ class Restorer:
     """Restored texts; readings of tokens are remembered up to a bound."""
 
     def __init__(self, model: CharModel):
+        model.build()
         self.model, self.known = model, {}
 
     def suspects(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -213,7 +214,7 @@ class Restorer:
             core = low.rstrip(TAIL)
             odd = SPACED.fullmatch(core) or any(c in LEET for c in core) or any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
             got = viterbi(lattice(core), self.model) if odd and any(c.isalpha() for c in core) else low
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             if len(low) <= REMEMBERED:
                 self.known[low] = got
@@ -288,16 +289,19 @@ def count_characters(docs: DataFrame, text: str = "text") -> DataFrame:
         on = np.flatnonzero(total)
         yield pa.record_batch([pa.array(on), pa.array(total[on])], ["code", "n"])
 
-    return docs.select(text).mapInArrow(each, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tables.released(each), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offs = tb.buffers(b.column("t"))
-        s, _, h = tb.words(data, offs, LETTERS, True)
-        bounds = np.searchsorted(s, offs)
-        sign = [int(tb.mix(tb.grams(h[i:j], min(4, j - i))).min().view(np.int64)) if j > i else 0 for i, j in zip(bounds[:-1], bounds[1:])]
-        yield pa.record_batch([b.column("_id").cast(pa.int64()), b.column("y"), pa.array(sign, pa.int64())], ["_id", "y", "sign"])
+        data, every = tb.buffers(b.column("t"))
+        for x, y in _rows(every):
+            offs = every[x : y + 1] - every[x]
+            s, _, h = tb.words(data[every[x] : every[y]], offs, LETTERS, True)
+            bounds = np.searchsorted(s, offs)
+            sign = [int(tb.mix(tb.grams(h[i:j], min(4, j - i))).min().view(np.int64)) if j > i else 0 for i, j in zip(bounds[:-1], bounds[1:])]
+            part = b.slice(x, y - x)
+            yield pa.record_batch([part.column("_id").cast(pa.int64()), part.column("y"), pa.array(sign, pa.int64())], ["_id", "y", "sign"])
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, text: str, doc_id: str, toxic: int, clean: int) -> DataFrame:
@@ -309,7 +313,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, text: str, doc_i
     kept = y.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
     # one text of each group of copies: near copies share the smallest hash of their word quadruples
-    marked = texts.join(F.broadcast(kept), "_id").mapInArrow(_copies, "_id long, y int, sign long")
+    marked = texts.join(F.broadcast(kept), "_id").mapInArrow(tables.released(_copies), "_id long, y int, sign long")
     single = tables.checkpoint(marked.groupBy("sign", "y").agg(F.min("_id").alias("_id")).select("_id", "y"))
     return texts.join(F.broadcast(single), "_id").select("t", "y")
 
@@ -317,7 +321,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, text: str, doc_i
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", toxic: int = TOXIC, clean: int = CLEAN) -> Model:
     """``learn`` is a condition on the column _id of the labels."""
     sc = docs.sparkSession.sparkContext
-    chars = CharModel({r["code"]: r["n"] for r in count_characters(docs, text).collect()})  # at most SYMBOLS cubed rows
+    tables.bounded_batches(docs.sparkSession)
+    counts = count_characters(docs, text).toArrow()  # at most SYMBOLS cubed rows of two numbers
+    chars = CharModel(counts.column("code").to_numpy().astype(np.int32), counts.column("n").to_numpy())
     rows = _sampled(docs, labels, learn, text, doc_id, toxic, clean)
     shared = sc.broadcast(chars)
 
@@ -339,14 +345,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
                     k, n = np.unique(key[first], return_counts=True)  # texts with the feature
                     yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
 
-        return each
+        return tables.released(each)
 
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    bad = rows.filter("y = 1").mapInArrow(counted(None), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "k").limit(FEATURES).collect()
+    bad = rows.filter("y = 1").mapInArrow(counted(None), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).collect()
     keys = np.sort(np.array([r["k"] for r in bad], np.int64).view(np.uint64))
     if not len(keys):
         return Model(chars, keys, np.zeros(0), np.array([-3.0, 0.0, 0.0]))
-    good = rows.filter("y = 0").mapInArrow(counted(sc.broadcast(keys)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    wanted = sc.broadcast(keys)
+    good = rows.filter("y = 0").mapInArrow(counted(wanted), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
+    wanted.destroy()
     a, b = np.zeros(len(keys)), np.zeros(len(keys))
     for r in bad:
         a[np.searchsorted(keys, np.array([r["k"]], np.int64).view(np.uint64)[0])] = r["n"]
@@ -363,7 +372,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
             m = _measured(told.value, restorer, x.column("t"))
             yield pa.record_batch([pa.array(m[:, 0]), pa.array(m[:, 1]), x.column("y")], ["a", "b", "y"])
 
-    got = rows.mapInArrow(measured, "a double, b double, y int").groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").count().collect()
+    got = rows.mapInArrow(tables.released(measured), "a double, b double, y int").groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").count().collect()
+    told.destroy()
     x = np.array([[1.0, r["a"], r["b"]] for r in got])
     y, n = np.array([r["y"] for r in got], float), np.array([r["count"] for r in got], float)
     n[y == 1] *= min(10.0, n0 / n1)  # both classes weigh alike up to a point
@@ -397,7 +407,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
             s = scores(told.value, restorer, x.column("t"))
             yield pa.record_batch([x.column("doc_id"), x.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (split_of(F.col(doc_id), 5) == 0).alias("held_out"), F.col(text).alias("t")).mapInArrow(each, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (split_of(F.col(doc_id), 5) == 0).alias("held_out"), F.col(text).alias("t")).mapInArrow(tables.released(each), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -409,4 +419,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for x in batches:
             yield x.filter(pa.array(scores(told.value, restorer, x.column(text)) < 0.5))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tables.released(each), docs.schema)
