@@ -1,15 +1,18 @@
 """Run kernels over samples: one shuffle by session, one Python pass for all of them.
 
 Partitions are sorted by session and sample; a task feeds its rows to the
-kernels chunk by chunk and drops the state when the session ends, so memory
-holds one Arrow batch and one session's state.
+kernels, batch by batch, and drops the state when the session ends, so memory
+holds one Arrow batch and one session's state. Only kernels that say so are fed
+chunk by chunk.
 """
 
 from __future__ import annotations
 
 import copy
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -35,34 +38,50 @@ def output_schema(samples: DataFrame, kernels: list[Kernel]) -> T.StructType:
     return T.StructType(fields)
 
 
+def _edges(batch: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Rows at which one of the columns changes; nulls are equal to one another."""
+    new = np.zeros(len(batch), bool)
+    for c in columns:
+        v, before = batch[c], batch[c].shift()
+        new |= ((v != before) & ~(v.isna() & before.isna())).to_numpy(bool)
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _same(a: object, b: object) -> bool:
+    return bool(pd.isna(a) and pd.isna(b)) or a == b
+
+
 def with_kernels(samples: DataFrame, kernels: list[Kernel]) -> DataFrame:
-    """samples needs session_id, sample_idx and, where values belong to chunks, chunk_id: a chunk is fed whole."""
+    """samples needs session_id and sample_idx, and chunk_id if a kernel's values belong to chunks: chunks are then fed whole.
+
+    All other kernels get as much of a session as a batch holds. Rows with a null session are one session.
+    """
     schema = output_schema(samples, kernels)
     names = schema.fieldNames()
-    chunked = CHUNK in samples.columns
+    chunked = any(k.chunked for k in kernels) and CHUNK in samples.columns
+    columns = [SESSION, CHUNK] if chunked else [SESSION]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, live, rest = None, [], None
-        for batch in batches:
-            if rest is not None and len(rest):
-                batch = pd.concat([rest, batch], ignore_index=True)
+        session, live, rest = None, None, None
+        for batch in itertools.chain(batches, [None]):
+            if rest is not None:
+                batch = rest if batch is None else pd.concat([rest, batch], ignore_index=True)
+                end = batch is rest
+            else:
+                end = batch is None
             rest = None
-            if not len(batch):
+            if batch is None or not len(batch):
                 continue
-            if chunked:  # the last chunk may go on in the next batch
-                last = batch.iloc[-1]
-                tail = (batch[SESSION] == last[SESSION]) & (batch[CHUNK] == last[CHUNK])
-                rest, batch = batch[tail], batch[~tail]
-            for part, session, live in _pieces(batch, session, live):
-                yield part[names]
-        if rest is not None and len(rest):
-            for part, session, live in _pieces(rest, session, live):
-                yield part[names]
-
-    def _pieces(batch: pd.DataFrame, session, live):
-        for key, rows in batch.groupby([SESSION, *([CHUNK] if chunked else [])], sort=False, dropna=False):
-            if session is None or key[0] != session:
-                session, live = key[0], copy.deepcopy(kernels)
-            yield feed(live, rows), session, live
+            cuts = [*_edges(batch, columns).tolist(), len(batch)]
+            if chunked and not end:  # the last chunk may go on in the next batch
+                rest = batch.iloc[cuts[-2] :]
+                cuts.pop()
+            for a, b in itertools.pairwise(cuts):
+                rows = batch.iloc[a:b]
+                key = rows[SESSION].iloc[0]
+                if live is None or not _same(key, session):
+                    session, live = key, copy.deepcopy(kernels)
+                yield feed(live, rows)[names]
 
     return samples.repartition(SESSION).sortWithinPartitions(SESSION, INDEX).mapInPandas(run, schema)

@@ -19,10 +19,11 @@ Columns = dict[str, np.ndarray]
 
 
 class Kernel:
-    """inputs: names of columns; outputs: names and Spark types."""
+    """inputs: names of columns; outputs: names and Spark types; chunked: whether values depend on how samples are cut into chunks."""
 
     inputs: list[str]
     outputs: dict[str, str]
+    chunked = False
 
     def step(self, c: Columns) -> Columns:
         raise NotImplementedError
@@ -258,6 +259,8 @@ def segment_length(low: float, high: float, fs: float, bins: int = 3) -> int:
 class Coherence(Kernel):
     """Magnitude-squared coherence in a band by Welch's method over the last n samples; one value for each chunk that step() gets."""
 
+    chunked = True
+
     def __init__(self, a: str, b: str, out: str, low: float, high: float, n: int, fs: float):
         self.inputs, self.outputs = [a, b], {out: "double"}
         self.size = segment_length(low, high, fs)

@@ -179,3 +179,21 @@ def test_synthetic(spark):
     x = np.array([r.x for r in rows])
     assert len(x) == 128 and np.abs(x[32:64]).max() > np.abs(x[64:]).max()
     assert np.sqrt((pink_noise(RNG.normal(size=500)) ** 2).mean()) == pytest.approx(1)
+
+
+def test_null_sessions_and_any_batches(spark):
+    from pulsegrid.operators.host import with_kernels
+    from pulsegrid.operators.kernels import Coherence, Percentile, Smooth
+
+    rows = [(s, i, i // 8, float((i * 7919) % 101), float((i * 31) % 17)) for s in (None, 1, 2) for i in range(100)]
+    samples = spark.createDataFrame(rows, "session_id long, sample_idx long, chunk_id long, x double, y double")
+    kernels = [Smooth("x", "s", 0.1, 64.0), Percentile("x", "p", 60.0, 32), Coherence("x", "y", "c", 8.0, 16.0, 64, 64.0)]
+    seen = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = with_kernels(samples, kernels).collect()
+        by = {s: [(round(r.s, 9), round(r.p, 9), r.c is not None and round(r.c, 9)) for r in sorted(out, key=lambda r: r.sample_idx) if r.session_id == s] for s in (None, 1, 2)}
+        assert len(by[None]) == 100 and by[None] == by[1] == by[2]
+        seen.append(by)
+    assert seen[0] == seen[1]
+    assert "c" not in with_kernels(samples, kernels[:2]).columns
