@@ -1,6 +1,7 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-Training: windows of bytes from a bounded sample of labelled rows, numpy,
+Training: windows of bytes from a bounded sample of the distinct texts of every
+label (some places of many texts teach more than all of a few), numpy,
 backpropagation through time, Adam; every position is labelled with its text's
 language. Prediction: whole texts, cut into segments that run side by side from
 zero states, both directions; each position gets probabilities and a text's
@@ -8,8 +9,9 @@ probabilities are their mean. The label column is never an input.
 
 Null texts, and texts without a letter, are ``und`` with score 0; empty texts
 too. Rows with a null label aren't learned from. Repeated rows give repeated
-rows; with no labelled row at all every text is ``und``; extra columns are
-ignored. A null doc_id counts as the empty text in the split.
+rows; with no labelled row at all every text is ``und``; of equal probabilities
+the label that sorts first wins; very long texts are read whole, segment by
+segment; an empty table gives no rows; extra columns are ignored. A null doc_id counts as the empty text in the split.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import textblock as tb
 
-#: Bounds of the training sample: texts for each language (about), windows of each text, bytes of a window, languages.
-TEXTS, WINDOWS, SPAN, LANGUAGES = 400, 4, 64, 64
+#: Bounds of the training sample: texts for each language (about), windows of each text, bytes of a window.
+TEXTS, WINDOWS, SPAN = 400, 4, 64
 HIDDEN, BATCH, STEPS, RATE, SEED = 8, 128, 500, 0.02, 7
 #: Bytes of a segment and segments side by side in prediction.
 SEGMENT, SIDE = 96, 4096
@@ -181,7 +183,8 @@ def split_of(doc_id: Column, parts: int) -> Column:
 def sample(docs: DataFrame, learn: Column, label: str, text: str, texts: int, windows: int, span: int) -> pd.DataFrame:
     """Windows of bytes with their label: about ``texts`` texts of each label, taken by hash, ``windows`` evenly placed windows of each."""
     rows = docs.filter(learn & F.col(label).isNotNull() & (F.octet_length(text) > 0)).select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"))
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    counts = rows.select("y", "h").distinct().groupBy("y").count().collect()  # a row for each label
     if not counts:
         return pd.DataFrame({"y": [], "w": []})
     part = F.create_map(*[x for r in counts for x in (F.lit(r["y"]), F.lit(min(1.0, texts / r["count"])))])
@@ -197,7 +200,8 @@ def sample(docs: DataFrame, learn: Column, label: str, text: str, texts: int, wi
                     w.append(data[i + s : min(j, i + s + span)].tobytes())
             yield pa.record_batch([pa.array(y, pa.string()), pa.array(w, pa.binary())], ["y", "w"])
 
-    chosen = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.element_at(part, F.col("y")) * 1_000_000)
+    # copies of a text are drawn together and count once
+    chosen = rows.filter(F.pmod("h", F.lit(1_000_000)) < F.element_at(part, F.col("y")) * 1_000_000).dropDuplicates(["y", "h"]).select("y", "t")
     return pd.DataFrame([(r["y"], bytes(r["w"])) for r in chosen.mapInArrow(cut, "y string, w binary").orderBy("y", "w").collect()], columns=["y", "w"])
 
 

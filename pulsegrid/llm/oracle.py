@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import ACCESS, ASSIGN, HEX, KINDS, MAX_OWNERS, OPAQUE
+from .secret_scan import ACCESS, ASSIGN, HEX, KINDS, MAX_OWNERS, MAX_REPOSITORIES, OPAQUE
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GRAPH = r"[^\x20\x09-\x0D]+"
@@ -11,19 +11,19 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _kind(number: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
-    return f"""SELECT rid, o, {number} AS kind, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i, {least} AS least FROM
-(SELECT rid, o, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs FROM d WHERE regexp_matches(t, '{p}'))"""
+    return f"""SELECT rid, o, r, {number} AS kind, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i, {least} AS least FROM
+(SELECT rid, o, r, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs FROM d WHERE regexp_matches(t, '{p}'))"""
 
 
 SECRETS = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, concat_ws('/', source, lang) AS r FROM documents),
 m AS ({" UNION ALL ".join([_kind(0, ASSIGN, 2, 6), _kind(1, ACCESS, 0, 20), _kind(2, HEX, 0, 24), _kind(3, OPAQUE, 0, 20)])}),
-s AS (SELECT rid, o, kind, vs[i] AS v, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a, length(ms[i]) AS n FROM m WHERE length(vs[i]) >= least),
+s AS (SELECT rid, o, r, kind, vs[i] AS v, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a, length(ms[i]) AS n FROM m WHERE length(vs[i]) >= least),
 base AS (SELECT * FROM s WHERE kind < 3),
 more AS (SELECT * FROM s WHERE kind = 3 AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = s.rid AND b.a < s.a + s.n AND s.a < b.a + b.n)),
 both_ AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-freq AS (SELECT v, count(DISTINCT o) <= {MAX_OWNERS} AS live FROM both_ GROUP BY v),
+freq AS (SELECT v, count(DISTINCT o) <= {MAX_OWNERS} AND count(DISTINCT r) <= {MAX_REPOSITORIES} AS live FROM both_ GROUP BY v),
 j AS (SELECT rid, kind, a, live, ['{"', '".join(KINDS)}'][kind + 1] || ':' || a || ':' || (a + n) AS said FROM both_ JOIN freq USING (v) WHERE kind < 3 OR live),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, coalesce(string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base,
   string_agg(said, ',' ORDER BY a, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY rid)

@@ -4,14 +4,14 @@
    (the base kinds) and for opaque tokens (candidates).
 2. The value of every span is hashed; (value, repository, owner) triples are
    made distinct and counted by value.
-3. A value that at most ``max_owners`` owners hold is live-looking; one that more
-   owners hold is a widely copied example. Live-looking opaque tokens that no
+3. A value that at most ``max_owners`` owners and ``max_repositories``
+   repositories hold is live-looking; all others are widely copied examples. Live-looking opaque tokens that no
    base span touches become spans of kind ``owned``. Base spans always stay.
 
 Positions are code points, ends exclusive. Null texts count as empty; texts
 without spans give the hash of the empty string; repeated rows give repeated
 rows; null repositories and owners count as one repository and owner; extra
-columns are ignored. Counts are partial sums before any shuffle, so a value
+columns are ignored; an empty table gives no rows; very long texts are scanned whole. Counts are partial sums before any shuffle, so a value
 that a third of the rows hold is one row for each task.
 """
 
@@ -30,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a maximal run: the same as AKIA[A-Z0-9]+ with 2
 HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-MAX_OWNERS = 2
+#: A live-looking value has at most so many owners and repositories.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 
 
 def _found(text: Column, kind: int, pattern: str, value_group: int, least: int) -> Column:
@@ -62,7 +63,7 @@ def _opaque(value: Column) -> Column:
     return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4)
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """A row for each row of docs: doc_id, row_key, base and all spans (start, kind, end, live), counts of live-looking and example values.
 
     ``row_key`` names a text of a document id; rows with both equal share their result.
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository
     by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     freq = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
     judged = spans.select("row_key", "hash", "start", "kind", "end").distinct().join(freq, "hash")
-    judged = judged.withColumn("live", F.col("owners") <= max_owners).filter((F.col("kind") < 3) | F.col("live"))
+    judged = judged.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).filter((F.col("kind") < 3) | F.col("live"))
     found = judged.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
     return rows.select("doc_id", "row_key", "base").join(found, "row_key", "left").withColumn("spans", F.coalesce("spans", none))

@@ -17,12 +17,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where it is unset and all tasks run in this process (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or tempfile.mkdtemp(prefix="pulsegrid-")).rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it from there; a folder of our own only where the setting is absent (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Write df below the shared folder and read it from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

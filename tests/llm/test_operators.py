@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from . import brute
@@ -248,6 +250,15 @@ def test_sharding(spark, corpus):
     assert {r.grown_shard for r in rows if r.grown_shard != r.shard} == {40}
     n = np.bincount([r.shard for r in rows], minlength=40)
     assert n.min() > 30 and n.max() < 140
+    # draw by draw, as Spark hashes: the id, then the child's name
+    def plain(key, node):
+        while node.children:
+            seed = 42 if key is None else xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed=42).intdigest()
+            u = lambda c: ((xxhash.xxh64(c.name.encode(), seed=seed).intdigest() & ((1 << 52) - 1)) + 0.5) / (1 << 52)  # noqa: E731, B023
+            node = min(node.children, key=lambda c: (-math.log(u(c)) / c.weight, c.name))
+        return node.shard
+
+    assert all((r.shard, r.grown_shard) == (plain(r.doc_id, layout(40, 40)), plain(r.doc_id, layout(41, 40))) for r in rows)
     # a change of one weight moves keys only into or out of subtrees whose weight changes
     keys = spark.range(4000)
     before, after = layout(16, 16), layout(16, 16, weights={5: 3.0})
