@@ -90,8 +90,7 @@ class Protocol:
         """Rows of all outputs."""
         df = self.apply(samples)
         muted = self.muted() if muted is None else muted
-        make = {"analog": outputs.analog, "event": outputs.events}
-        return outputs.emitted([make[kind](df, channel, value(), muted, self.fs) for kind, channel, value in self.channels])
+        return outputs.emitted(df, [(kind, channel, value()) for kind, channel, value in self.channels], muted, self.fs)
 
 
 def fan_out(samples: DataFrame, sites: dict[str, Column], name: str = "site", value: str = "x") -> DataFrame:

@@ -70,7 +70,7 @@ def seeds(samples: DataFrame, x: Column, warmup: Column, pct: float, n: int, sca
 
 
 def reseeds(samples: DataFrame, x: Column, block: Column, fresh: Column, pct: float, n: int) -> DataFrame:
-    """One row for each session and block: the percentile of the first n fresh samples of the block before it, null (keep the old value) if it had fewer.
+    """One row for each session and block: the percentile of the last n fresh samples of the block before it, null (keep the old value) if it had fewer.
 
     ``fresh`` leaves out rests and artifact-muted samples.
     """

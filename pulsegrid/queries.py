@@ -416,8 +416,10 @@ def streaming_smooth(spark, sf):
 
     from .streaming.processor import stream_kernels
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-stream-")).rstrip("/")
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = f"{(shared or tempfile.mkdtemp(prefix='pulsegrid-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     signal(spark, sf).select(*KEY, "x").repartition(4, "sample_idx").write.parquet(f"{at}/in")
     stream = spark.readStream.schema("session_id long, sample_idx long, x double").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     q = stream_kernels(stream, [K.Smooth("x", "y", 0.5, FS)]).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()

@@ -1,9 +1,8 @@
-"""Recordings as sample tables: Parquet, EDF, and a seeded signal generator."""
+"""Recordings as sample tables: Parquet and EDF."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -58,45 +57,6 @@ def read_edf(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(each, "session_id string, sample_idx long, sample_rate_hz double, channels map<string,double>")
 
 
-@dataclass(frozen=True)
-class Burst:
-    """A sinusoid (hz, amplitude) between two times."""
-
-    start_s: float
-    end_s: float
-    hz: float
-    amplitude: float
-
-
-def pink_noise(white: np.ndarray) -> np.ndarray:
-    """Three one-pole filters in parallel over white noise, about 1/f, with unit power."""
-    # The poles and gains of the economy pink filter.
-    poles, gains = (0.99765, 0.96300, 0.57000), (0.0990460, 0.2965164, 1.0526913)
-    b, out = [0.0, 0.0, 0.0], np.empty(len(white))
-    for i, w in enumerate(white.tolist()):
-        b = [p * s + g * w for p, s, g in zip(poles, b, gains)]
-        out[i] = sum(b) + 0.1848 * w
-    power = np.sqrt(np.mean(out * out)) if len(out) else 1.0
-    return out / (power or 1.0)
-
-
-def synthetic(spark: SparkSession, sessions: int, seconds: float, fs: float, noise: float = 10.0, bursts: tuple[Burst, ...] = (), seed: int = 0, chunk: int = 32) -> DataFrame:
-    """session_id, sample_idx, x: pink noise, scaled chunk by chunk, and bursts; each session from its own seed."""
-    n = int(seconds * fs)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s in b["id"]:
-                rng = np.random.default_rng((seed, int(s)))
-                t = np.arange(n) / fs
-                x = np.concatenate([noise * pink_noise(rng.standard_normal(min(chunk, n - a))) for a in range(0, n, chunk)]) if n else np.zeros(0)
-                for q in bursts:
-                    x = x + np.where((t >= q.start_s) & (t < q.end_s), q.amplitude * np.sin(2 * np.pi * q.hz * t), 0.0)
-                yield pd.DataFrame({"session_id": int(s), "sample_idx": np.arange(n), "x": x})
-
-    return spark.range(sessions).mapInPandas(each, "session_id long, sample_idx long, x double")
-
-
 def align(samples: DataFrame, other: DataFrame, value: str = "x", out: str = "aligned") -> DataFrame:
     """The last value of ``other`` (session_id, sample_idx, value) at or before each sample; an extra."""
     from pyspark.sql import Window

@@ -11,7 +11,7 @@ from pulsegrid.functions import filters as Fl
 from pulsegrid.functions import units as Un
 from pulsegrid.operators import kernels as K
 from pulsegrid.operators.host import feed
-from pulsegrid.sources.recordings import Burst, parse_edf, pink_noise, synthetic
+from pulsegrid.sources.recordings import parse_edf
 
 FS = 256.0
 RNG = np.random.default_rng(3)
@@ -173,14 +173,6 @@ def test_edf(tmp_path, spark):
         open_source(spark, "a.fif")
 
 
-def test_synthetic(spark):
-    got = synthetic(spark, 2, 2.0, 64.0, bursts=(Burst(0.5, 1.0, 8.0, 50.0),))
-    rows = got.filter("session_id = 1").orderBy("sample_idx").collect()
-    x = np.array([r.x for r in rows])
-    assert len(x) == 128 and np.abs(x[32:64]).max() > np.abs(x[64:]).max()
-    assert np.sqrt((pink_noise(RNG.normal(size=500)) ** 2).mean()) == pytest.approx(1)
-
-
 def test_null_sessions_and_any_batches(spark):
     from pulsegrid.operators.host import with_kernels
     from pulsegrid.operators.kernels import Coherence, Percentile, Smooth
