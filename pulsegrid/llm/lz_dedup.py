@@ -8,7 +8,9 @@ are tried again from the first one that leaves the factor, so none is missed.
 
 Null and empty texts have no words; texts under 20 words stay whole; white
 space between words isn't kept; repeated rows of one id count as one document;
-extra columns are ignored; an empty table gives no rows.
+rows without an id are one document after all others; very long texts are
+handled in pieces; extra columns are ignored; an empty table gives no rows.
+Anchors of wide windows are long enough for runs of 64 windows at most.
 """
 
 from __future__ import annotations
@@ -84,5 +86,5 @@ def _finish(rows: pa.Table, t: repeats.Texts, gone: np.ndarray) -> pa.Table:
 
 def dedup(docs: DataFrame, width: int = SPEC.width, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (first, end, ... of the removed words)."""
-    spec = repeats.Spec(width, max(1, width * 2 // 5), "words", True)
+    spec = repeats.Spec(width, max(1, width * 2 // 5, width - 63), "words", True)
     return repeats.apply_repeats(docs, spec, verify, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>", text, doc_id, **sizes)

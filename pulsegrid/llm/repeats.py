@@ -309,6 +309,8 @@ def covered(t: Texts, marks: pa.Table, spec: Spec) -> np.ndarray:
 
 def apply_repeats(docs: DataFrame, spec: Spec, verify: Verify, finish: Callable[[pa.Table, Texts, np.ndarray], pa.Table], schema: str, text: str = "text", doc_id: str = "doc_id", cell_bytes: int = CELL_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """finish(rows of a cell, its texts, covered elements) for all cells."""
+    if spec.width - spec.k + 1 > 64:
+        raise ValueError("windows are too wide: a run may have 64 windows at most (width - k < 64)")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = tables.text_bytes(d)
     cells, buckets = max(1, math.ceil(total / cell_bytes)), max(1, math.ceil(total / bucket_bytes))

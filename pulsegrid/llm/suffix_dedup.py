@@ -7,6 +7,8 @@ more join equal windows, and each takes the smallest document id of its group.
 Null and empty texts have nothing to remove; texts under 50 bytes stay whole;
 exact copies of 50 bytes or more keep only the smallest id's; extra columns are
 ignored; an empty table gives no rows; very long texts are handled in pieces.
+Null ids come after all others; rows of one id (or of none) are one document.
+Anchors of wide windows are long enough for runs of 64 windows at most.
 """
 
 from __future__ import annotations
@@ -61,5 +63,5 @@ def _finish(rows: pa.Table, t: repeats.Texts, gone: np.ndarray) -> pa.Table:
 
 def dedup(docs: DataFrame, width: int = SPEC.width, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... of the removed bytes)."""
-    spec = repeats.Spec(width, min(SPEC.k, max(1, width * 2 // 5)), "bytes", False)
+    spec = repeats.Spec(width, max(min(SPEC.k, max(1, width * 2 // 5)), width - 63), "bytes", False)
     return repeats.apply_repeats(docs, spec, verify, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>", text, doc_id, **sizes)

@@ -57,6 +57,19 @@ def test_lz_dedup(spark, corpus, cell_bytes, bucket_bytes):
     assert got == brute.word_repeats(corpus)
 
 
+@pytest.mark.parametrize("width", [20, 106, 150, 200])
+def test_repeats_of_wide_windows(spark, width):
+    from pulsegrid.llm import lz_dedup, suffix_dedup
+
+    rng = random.Random(width)
+    parts = [words(rng, n, 500) for n in (40, 130, 210, 260)]
+    docs = [(i, " ".join([words(rng, 15, 500), *rng.sample(parts, 2), words(rng, 15, 500)])) for i in range(14)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(table(spark, docs), width).collect()}
+    assert got == brute.byte_repeats(docs, width) and any(r[1] for r in got.values())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in lz_dedup.dedup(table(spark, docs), width).collect()}
+    assert got == brute.word_repeats(docs, width) and any(r[1] for r in got.values())
+
+
 def test_two_stage_suffix_sorting():
     from pulsegrid.llm.suffix_array import adjacent_prefixes, two_stage
 
