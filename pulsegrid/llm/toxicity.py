@@ -86,7 +86,7 @@ class CharModel:
     n: np.ndarray
 
     def __post_init__(self) -> None:
-        self.table: memoryview | None = None
+        self.table: memoryview | None = None  # cost of symbol c after a and b at (a * SYMBOLS + b) * SYMBOLS + c
 
     def __getstate__(self) -> dict:
         return {"code": self.code, "n": self.n, "table": None}  # tasks build the table
@@ -103,9 +103,6 @@ class CharModel:
                 tri[a] = -np.log((tri[a] + 4 * low) / (total[a][:, None] + 4))
             self.table = memoryview(tri.reshape(-1))
 
-    def cost(self, a: int, b: int, c: int) -> float:
-        return self.table[(a * SYMBOLS + b) * SYMBOLS + c]
-
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Slots of (letters, channel cost); '' is nothing and ' ' a boundary. Among spaced letters, a wider gap than the least one may as well be a boundary."""
@@ -138,6 +135,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(slots: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The cheapest path through a lattice, between word boundaries; states are the last two symbols, with the path that leads there."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    table = model.table
     for options in [*slots, [(" ", 0.0)]]:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for letters, price in options:
@@ -145,7 +143,7 @@ def viterbi(slots: list[list[tuple[str, float]]], model: CharModel) -> str:
             for (a, b), (cost, path) in states.items():
                 cost += price
                 for s in symbols:
-                    cost += model.cost(a, b, s)
+                    cost += table[(a * SYMBOLS + b) * SYMBOLS + s]
                     a, b = b, s
                 if (a, b) not in new or cost < new[a, b][0]:
                     new[a, b] = (cost, (path, letters) if letters else path)
@@ -214,7 +212,7 @@ class Restorer:
             core = low.rstrip(TAIL)
             odd = SPACED.fullmatch(core) or any(c in LEET for c in core) or any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
             got = viterbi(lattice(core), self.model) if odd and any(c.isalpha() for c in core) else low
-            if len(self.known) > 50_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             if len(low) <= REMEMBERED:
                 self.known[low] = got
