@@ -31,7 +31,8 @@ def feed(kernels: list[Kernel], rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def output_schema(samples: DataFrame, kernels: list[Kernel]) -> T.StructType:
-    fields = list(samples.schema.fields)
+    """All columns may be null: NaN comes back from pandas as null."""
+    fields = [T.StructField(f.name, f.dataType, True, f.metadata) for f in samples.schema.fields]
     for k in kernels:
         for name, kind in k.outputs.items():
             fields.append(T.StructField(name, T.BooleanType() if kind == "boolean" else T.DoubleType()))

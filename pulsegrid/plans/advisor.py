@@ -43,15 +43,15 @@ def evidence(counts: DataFrame, watch: int, horizon: int, names: list[str]) -> D
     return counts.withColumn("_e", F.aggregate(frame, zero, add)).select(SESSION, CHUNK, *names, *[F.col(f"_e.{n}").alias(f"{n}_w") for n in names])
 
 
-def decide(evidence_: DataFrame, watch: int, guards: list[str], low: float = LOW, high: float = HIGH, guard_max: float = GUARD_MAX, settle_chunks: int = 0, has_reward: bool = True) -> DataFrame:
-    """advice of each chunk: idle, settling, guarded, collecting, observing (the protocol has no reward condition), easier, hold or harder."""
+def decide(evidence_: DataFrame, watch: int, guards: list[str], low: float = LOW, high: float = HIGH, guard_max: float = GUARD_MAX, settle_chunks: int = 0, has_reward: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """advice of each chunk: idle, settling, guarded, collecting, observing (the protocol has no reward condition), easier, hold or harder; and the columns of ``keep``."""
     rate = F.when(F.col("n_clean_w") > 0, F.col("n_cond_w") / F.col("n_clean_w"))
     guard = F.greatest(F.lit(0.0), *[F.when(F.col("n_train_w") > 0, F.col(f"{g}_n_w") / F.col("n_train_w")).otherwise(0.0) for g in guards]) if guards else F.lit(0.0)
     advice = (
         F.when(F.col("n_train") == 0, "idle").when(F.col(CHUNK) < settle_chunks, "settling").when(guard > guard_max, "guarded").when(F.col("n_clean_w") < watch, "collecting")
         .when(F.lit(not has_reward), "observing").when(rate < low, "easier").when(rate > high, "harder").otherwise("hold")
     )
-    return evidence_.select(SESSION, CHUNK, "n_clean_w", "n_cond_w", rate.alias("pass_rate"), guard.alias("guard_rate"), advice.alias("advice"))
+    return evidence_.select(SESSION, CHUNK, "n_clean_w", "n_cond_w", rate.alias("pass_rate"), guard.alias("guard_rate"), advice.alias("advice"), *keep)
 
 
 def limiter(advice: Column, rates: dict[str, Column], tighten_first: str | None = None) -> Column:

@@ -43,12 +43,19 @@ class Protocol:
         self.steps.append(("kernel", kernel))
         return self
 
-    def inhibit(self, name: str, metric: str, threshold: Column, action: str = "mute", release_ms: float | None = None, artifact: bool = False) -> "Protocol":
-        """<name>_active: metric above threshold; mute and freeze gate with a hangover (<name>_gated), flag only tells."""
+    def inhibit(self, name: str, metric: str, threshold: Column, action: str = "mute", release_ms: float | None = None, artifact: bool = False, where: Column | None = None) -> "Protocol":
+        """<name>_active: metric above threshold; mute and freeze gate with a hangover (<name>_gated), flag only tells.
+
+        ``where``: the samples at which the active block has this inhibit (session.allows); at others it doesn't gate and its hangover waits.
+        """
         self.steps.append(("column", (f"{name}_active", gt(F.col(metric), threshold))))
         if action != "flag":
             self.gates[name] = artifact
-            self.steps.append(("column", (f"{name}_gated", runs.hangover(F.col(f"{name}_active"), runs.release_samples(release_ms, self.fs)))))
+            release = runs.release_samples(release_ms, self.fs)
+            if where is None:
+                self.steps.append(("column", (f"{name}_gated", runs.hangover(F.col(f"{name}_active"), release))))
+            else:
+                self.steps.append(("gate", (F.col(f"{name}_active"), release, where, name)))
         return self
 
     def muted(self, only: tuple[str, ...] | None = None, artifacts: bool = False) -> Column:
@@ -57,7 +64,28 @@ class Protocol:
         return reduce(lambda a, b: a | b, [F.col(f"{n}_gated") for n in names], F.lit(False))
 
     def dwell(self, name: str, condition: Column, count: int) -> "Protocol":
-        self.steps.append(("dwell", (name, condition, count)))
+        self.steps.append(("dwell", (name, condition, count, None)))
+        return self
+
+    def output_hold(self, name: str, condition: Column, count: int, suppressed: Column | None = None, channel_active: Column | None = None, reset: Column | None = None) -> "Protocol":
+        """A hold that an output reads: muted, suppressed (muted phase) and inactive samples break it; ``reset`` starts it anew."""
+        eligible = condition & ~self.muted()
+        for c in (None if suppressed is None else ~suppressed, channel_active):
+            eligible = eligible if c is None else eligible & c
+        self.steps.append(("dwell", (name, eligible, count, reset)))
+        return self
+
+    def conditions(self, name: str, parts: list[Column], how: str = "all") -> "Protocol":
+        """<name>: all (or any) of the parts, each of which stays readable as <name>_condition_<i>."""
+        for i, c in enumerate(parts):
+            self.stream(f"{name}_condition_{i}", F.coalesce(c, F.lit(False)))
+        each = [F.col(f"{name}_condition_{i}") for i in range(len(parts))]
+        return self.stream(name, reduce((lambda a, b: a & b) if how == "all" else (lambda a, b: a | b), each))
+
+    def bands(self, table: dict[str, tuple[float, float]], build: Callable[["Protocol", str, float, float], object]) -> "Protocol":
+        """build(protocol, '@band', low, high) for each band: it adds the band's streams under names with that ending."""
+        for band, (low, high) in table.items():
+            build(self, f"@{band}", low, high)
         return self
 
     def analog(self, channel: str, value: Column) -> "Protocol":
@@ -83,7 +111,9 @@ class Protocol:
                 memory, columns = what
                 df = df.withColumns(columns(by_session())) if memory is None else with_windows(df, memory, columns)
             elif kind == "dwell":
-                df = runs.with_dwell(df, what[1], what[2], what[0])
+                df = runs.with_dwell(df, what[1], what[2], what[0], what[3])
+            elif kind == "gate":
+                df = runs.with_gate(df, *what)
         return df
 
     def emit(self, samples: DataFrame, muted: Column | None = None) -> DataFrame:

@@ -1,25 +1,29 @@
-"""Session timelines and controls as joins on chunk numbers; seeds as aggregates of the warm-up."""
+"""Session timelines, host commands and controls on chunk numbers; seeds as aggregates of the warm-up."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.host import with_kernels
+from ..operators.kernels import Columns, Kernel
 from ..operators.samples import CHUNK, INDEX, SESSION
 
 
 @dataclass(frozen=True)
 class Phase:
-    """A timed phase (samples; None: to the end), whether outputs are muted, and what its block selects."""
+    """A phase (samples; None: open), whether outputs are muted, and what its block selects. floor: a hold can extend it; inhibits: those that gate (none named: all)."""
 
     name: str
     samples: int | None
     muted: bool = False
     bundle: str | None = None
     inhibits: tuple[str, ...] | None = None
+    floor: bool = False
 
 
 def phase_ranges(phases: list[Phase], chunk: int) -> list[tuple[int, Phase, int, int | None]]:
@@ -38,13 +42,74 @@ def with_phase(samples: DataFrame, phases: list[Phase], chunk: int) -> DataFrame
     """phase_index, phase, phase_muted, bundle of each sample; samples after the last timed phase go (the session has stopped). The phases are a few literals, so no join is needed."""
     ranges = phase_ranges(phases, chunk)
     within = lambda a, b: (F.col(CHUNK) >= a) if b is None else (F.col(CHUNK) >= a) & (F.col(CHUNK) < b)
+    return _in_phase(samples, [(i, p, within(a, b)) for i, p, a, b in ranges])
+
+
+def _in_phase(samples: DataFrame, cases: list[tuple[int, Phase, Column]]) -> DataFrame:
     pick = F
-    for i, p, a, b in ranges:
-        pick = pick.when(within(a, b), F.struct(F.lit(i).alias("phase_index"), F.lit(p.name).alias("phase"), F.lit(p.muted).alias("phase_muted"), F.lit(p.bundle).cast("string").alias("bundle")))
+    for i, p, here in cases:
+        pick = pick.when(here, F.struct(F.lit(i).alias("phase_index"), F.lit(p.name).alias("phase"), F.lit(p.muted).alias("phase_muted"), F.lit(p.bundle).cast("string").alias("bundle")))
     out = samples.withColumn("_p", pick)
     return out.filter(F.col("_p").isNotNull()).select(*samples.columns, "_p.*")
 
 
+def allows(phases: list[Phase], inhibit: str) -> Column:
+    """Whether the phase of a sample (phase_index) lets an inhibit gate."""
+    return F.col("phase_index").isin([i for i, p in enumerate(phases) if not p.inhibits or inhibit in p.inhibits])
+
+
+class Cursor(Kernel):
+    """The phase of each chunk under host commands, which take effect before the chunk: advance, hold (floor phases only), freeze (of the clock).
+
+    Inputs are rows of chunks: samples in it, and a number for each command (1 on, 0 off, NaN none). A phase ends after the
+    chunk in which its time is up; -1 once the last has ended.
+    """
+
+    def __init__(self, phases: list[Phase]):
+        self.inputs, self.outputs = ["n", "advance", "hold", "freeze"], {"at": "double"}
+        self.phases, self.index, self.elapsed, self.held, self.frozen = phases, 0, 0, False, False
+
+    def _next(self) -> None:
+        self.index, self.elapsed, self.held = self.index + 1, 0, False
+
+    def step(self, c: Columns) -> Columns:
+        at = []
+        for n, advance, hold, freeze in zip(*(c[k].astype(float).tolist() for k in self.inputs)):
+            if advance == 1.0 and self.index < len(self.phases):
+                self._next()
+            phase = self.phases[self.index] if self.index < len(self.phases) else None
+            if phase and phase.floor and not math.isnan(hold):
+                self.held = hold == 1.0
+            if not math.isnan(freeze):
+                self.frozen = freeze == 1.0
+            at.append(self.index if phase else -1)
+            if phase and not self.frozen:
+                self.elapsed += n
+                if phase.samples is not None and not self.held and self.elapsed >= phase.samples:
+                    self._next()
+        return {"at": np.array(at, float)}
+
+
+COMMANDS = ("advance", "hold", "freeze")
+
+
+def with_commands(samples: DataFrame, phases: list[Phase], commands: DataFrame) -> DataFrame:
+    """with_phase under a host's commands (session_id, chunk_id, name, value), and hold_reset: a clock was frozen before this sample's chunk, so held outputs start anew.
+
+    The cursor runs over rows of chunks; only its changes go back to the samples, as controls do.
+    """
+    given = commands.groupBy(SESSION, CHUNK).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in COMMANDS])
+    sizes = samples.groupBy(SESSION, CHUNK).agg(F.count(F.lit(1)).cast("double").alias("n"), F.min(INDEX).alias("first"))
+    chunks = sizes.join(given, [SESSION, CHUNK], "left").withColumns({n: F.coalesce(n, F.lit(float("nan"))) for n in COMMANDS})
+    walked = with_kernels(chunks.withColumn(INDEX, F.col(CHUNK)), [Cursor(phases)])
+    before = F.lag("at").over(Window.partitionBy(SESSION).orderBy(CHUNK))
+    moves = walked.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("at")) | (F.col("freeze") == 1.0))
+    marks = F.array(F.struct(F.lit("_at").alias("name"), F.col("at").alias("value")), F.struct(F.lit("_reset").alias("name"), F.when(F.col("freeze") == 1.0, F.col("first").cast("double")).alias("value")))
+    timeline = moves.select(SESSION, CHUNK, F.inline(marks)).filter(F.col("value").isNotNull())
+    out = with_controls(samples, timeline, {"_at": -1.0, "_reset": -1.0}).withColumn("hold_reset", F.col(INDEX) == F.col("_reset"))
+    return _in_phase(out, [(i, p, F.col("_at") == i) for i, p in enumerate(phases)]).drop("_at", "_reset")
+
+
 def with_controls(samples: DataFrame, timeline: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """Live parameters: the last value set at or before each chunk (timeline: session_id, chunk_id, name, value), else the default.
 
@@ -69,12 +134,27 @@ def seeds(samples: DataFrame, x: Column, warmup: Column, pct: float, n: int, sca
     return kept.groupBy(SESSION).agg(value.alias("seed"), F.count(F.lit(1)).alias("seed_samples")).withColumn("seeded", F.col("seed_samples") == n)
 
 
+def with_seed(samples: DataFrame, seeds_: DataFrame, timeline: DataFrame, name: str, default: float, start: int) -> DataFrame:
+    """Columns ``name`` and seed_muted: the control takes its seed at chunk ``start``, the first that runs.
+
+    A session whose seed isn't whole stays muted from then on. A value that the host sets (``timeline``, as in with_controls)
+    at ``start`` or before disarms the seed; one set later replaces it, and a failed seed's mute stays.
+    """
+    host = timeline.filter(F.col("name") == name)
+    early = host.groupBy(SESSION).agg(F.bool_or(F.col(CHUNK) <= start).alias("_disarmed"))
+    seed = seeds_.select(SESSION, F.when(F.col("seeded"), F.col("seed")).alias("_seed")).join(early, SESSION, "full")
+    set_ = with_controls(samples, host, {name: float("nan")})
+    rows = set_.join(seed, SESSION, "left").withColumn("_run", (F.col(CHUNK) >= start) & ~F.coalesce("_disarmed", F.lit(False)))
+    value = F.when(~F.isnan(name), F.col(name)).when(F.col("_run") & F.col("_seed").isNotNull(), F.col("_seed")).otherwise(default)
+    return rows.withColumn("seed_muted", F.col("_run") & F.col("_seed").isNull()).withColumn(name, value).drop("_run", "_seed", "_disarmed")
+
+
 def reseeds(samples: DataFrame, x: Column, block: Column, fresh: Column, pct: float, n: int) -> DataFrame:
     """One row for each session and block: the percentile of the last n fresh samples of the block before it, null (keep the old value) if it had fewer.
 
     ``fresh`` leaves out rests and artifact-muted samples.
     """
-    rows = samples.filter(fresh & ~F.isnan(x)).select(SESSION, INDEX, x.alias("_x"), block.alias("block"))
+    rows = samples.filter(fresh & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).select(SESSION, INDEX, x.alias("_x"), block.alias("block"))
     back = Window.partitionBy(SESSION, "block").orderBy(F.desc(INDEX))
     kept = rows.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= n)
     got = kept.groupBy(SESSION, "block").agg(F.percentile("_x", F.lit(pct / 100.0)).alias("v"), F.count(F.lit(1)).alias("c"))

@@ -57,10 +57,10 @@ def query(sql: str | None = None):
     return put
 
 
-def recursive(start: str, step: str, select: str) -> str:
-    """SQL that steps a state along each session: s is the sample, r the state before it."""
-    return f"""WITH RECURSIVE {SIG}, r AS (SELECT session_id, sample_idx, {start} FROM s WHERE sample_idx = 0
-UNION ALL SELECT s.session_id, s.sample_idx, {step} FROM r JOIN s ON s.session_id = r.session_id AND s.sample_idx = r.sample_idx + 1)
+def recursive(start: str, step: str, select: str, table: str = "", row: str = "") -> str:
+    """SQL that steps a state along each session: s is the sample, r the state before it; ``row`` names one-row tables defined by ``table``."""
+    return f"""WITH RECURSIVE {SIG}{table and ', ' + table}, r AS (SELECT session_id, sample_idx, {start} FROM s{row} WHERE sample_idx = 0
+UNION ALL SELECT s.session_id, s.sample_idx, {step} FROM r JOIN s ON s.session_id = r.session_id AND s.sample_idx = r.sample_idx + 1{row})
 SELECT session_id, sample_idx, {select} FROM r"""
 
 
@@ -180,46 +180,90 @@ def moving_mean(spark, sf):
 
 # --- recursions ---------------------------------------------------------------------
 
-_A = filters.smoothing_factor(0.5, FS)
+_A = "(1 - exp(-1 / (0.5 * 16)))"
+_SMOOTH = recursive("x AS y", f"{_A} * s.x + (1 - {_A}) * r.y", "round(y, 6) + 0.0 AS y")
 
 
-@query(recursive("x AS y", f"{_A!r} * s.x + (1 - {_A!r}) * r.y", "round(y, 6) + 0.0 AS y"))
+@query(_SMOOTH)
 def smooth(spark, sf):
     return host.with_kernels(signal(spark, sf), [K.Smooth("x", "y", 0.5, FS)]).select(*KEY, r6(F.col("y")).alias("y"))
 
 
-_S = filters.bandpass_sos(2.0, 4.0, FS, 1)[0].tolist()
-_Z = filters.warm_state(filters.bandpass_sos(2.0, 4.0, FS, 1))[0].tolist()
-_B0, _B1, _B2, _, _A1, _A2 = _S
+def _band(name: str, low: str, high: str) -> str:
+    """A one-row table: the second-order Butterworth band-pass b0 (1 - z^-2) / (1 + a1 z^-1 + a2 z^-2) by the bilinear transform."""
+    return f"""{name} AS (SELECT width * 32 / d AS b0, 2 * (square - 32 * 32) / d AS a1, (32 * 32 - width * 32 + square) / d AS a2 FROM (SELECT *, 32 * 32 + width * 32 + square AS d FROM (
+SELECT hi - lo AS width, hi * lo AS square FROM (SELECT 32 * tan(pi() * {low} / 16) AS lo, 32 * tan(pi() * {high} / 16) AS hi))))"""
 
 
-def _biquad(z0: str, z1: str, x: str) -> str:
-    y = f"({_B0!r} * {x} + {z0})"
-    return f"{y} AS y, ({_B1!r}) * {x} - ({_A1!r}) * {y} + {z1} AS z0, ({_B2!r}) * {x} - ({_A2!r}) * {y} AS z1"
+def _pole_pair(k: str, z: str, x: str, start: bool = False) -> str:
+    """One step of _band's filter k; it starts as if x had been there forever."""
+    z0, z1 = (f"(-{k}.b0 * {x})",) * 2 if start else (f"r.{z}0", f"r.{z}1")
+    y = f"({k}.b0 * {x} + {z0})"
+    return f"{y} AS {z}, {z1} - {k}.a1 * {y} AS {z}0, -{k}.b0 * {x} - {k}.a2 * {y} AS {z}1"
 
 
-@query(recursive(_biquad(f"({_Z[0]!r}) * x", f"({_Z[1]!r}) * x", "x"), _biquad("r.z0", "r.z1", "s.x"), "round(y, 6) + 0.0 AS y"))
+@query(recursive(_pole_pair("k", "y", "x", True), _pole_pair("k", "y", "s.x"), "round(y, 6) + 0.0 AS y", _band("k", "2.0", "4.0"), ", k"))
 def bandpass(spark, sf):
     return host.with_kernels(signal(spark, sf), [K.Bandpass("x", "y", 2.0, 4.0, FS, order=1)]).select(*KEY, r6(F.col("y")).alias("y"))
 
 
-@query()
+def _cascade(kind: str, x: str, start: bool = False) -> str:
+    """One step of a fourth-order band-pass: its sections one after the other."""
+    sos, out = filters.bandpass_sos(2.0, 4.0, FS, 4, kind), []
+    for i, ((b0, b1, b2, _, a1, a2), (w0, w1)) in enumerate(zip(sos.tolist(), filters.warm_state(sos).tolist())):
+        z0, z1 = (f"({w0!r} * s.x)", f"({w1!r} * s.x)") if start else (f"r.{kind}{i}_0", f"r.{kind}{i}_1")
+        y = f"(({b0!r}) * {x} + {z0})"
+        out += [f"({b1!r}) * {x} - ({a1!r}) * {y} + {z1} AS {kind}{i}_0", f"({b2!r}) * {x} - ({a2!r}) * {y} AS {kind}{i}_1"]
+        x = y
+    return ", ".join([*out, f"{x} AS {kind}"])
+
+
+_KINDS = ("butterworth", "bessel", "chebyshev2")
+
+
+@query(recursive(", ".join(_cascade(k, "s.x", True) for k in _KINDS), ", ".join(_cascade(k, "s.x") for k in _KINDS), ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in _KINDS)))
 def bandpass_kinds(spark, sf):
-    ks = [K.Bandpass("x", n, 2.0, 4.0, FS, 4, n) for n in ("butterworth", "bessel", "chebyshev2")]
-    return host.with_kernels(signal(spark, sf), ks).select(*KEY, *[r6(F.col(k)).alias(k) for k in ("butterworth", "bessel", "chebyshev2")])
+    ks = [K.Bandpass("x", n, 2.0, 4.0, FS, 4, n) for n in _KINDS]
+    return host.with_kernels(signal(spark, sf), ks).select(*KEY, *[r6(F.col(k)).alias(k) for k in _KINDS])
 
 
-@query()
+@query(recursive(_cascade("butterworth", "s.x", True), _cascade("butterworth", "s.x"), f"round(avg(butterworth * butterworth) OVER {W} ROWS 15 PRECEDING), 6) + 0.0 AS p"))
 def bandpower(spark, sf):
     return host.with_kernels(signal(spark, sf), [K.Bandpower("x", "p", 2.0, 4.0, 16, FS)]).select(*KEY, r6(F.col("p")).alias("p"))
 
 
-@query()
+# Segments of 8 samples (bins at 2, 4 and 6 Hz), 4 apart, in the last 32 samples of a chunk's end.
+_COHERENCE = f"""WITH {SIG}, e AS (SELECT session_id, chunk_id, max(sample_idx) AS last, least(32, max(sample_idx) + 1) AS held FROM s GROUP BY ALL),
+g AS (SELECT session_id, chunk_id, last - held + 1 + 4 * unnest(range(0, (held - 8) // 4 + 1)) AS first FROM e WHERE held >= 12),
+v AS (SELECT g.session_id, g.chunk_id, first, sample_idx - first AS n, x - avg(x) OVER p AS a, sqrt(greatest(x, 0)) - avg(sqrt(greatest(x, 0))) OVER p AS b, 0.5 - 0.5 * cos(2 * pi() * (sample_idx - first) / 8) AS w
+ FROM g JOIN s ON s.session_id = g.session_id AND sample_idx BETWEEN first AND first + 7 WINDOW p AS (PARTITION BY g.session_id, g.chunk_id, first)),
+f AS (SELECT session_id, chunk_id, first, k, sum(a * w * cos(2 * pi() * k * n / 8)) AS ar, sum(-a * w * sin(2 * pi() * k * n / 8)) AS ai, sum(b * w * cos(2 * pi() * k * n / 8)) AS br, sum(-b * w * sin(2 * pi() * k * n / 8)) AS bi
+ FROM v, (SELECT unnest([1, 2, 3]) AS k) GROUP BY ALL),
+m AS (SELECT session_id, chunk_id, k, (avg(ar * br + ai * bi) ** 2 + avg(ar * bi - ai * br) ** 2) / nullif(avg(ar * ar + ai * ai) * avg(br * br + bi * bi), 0) AS c FROM f GROUP BY ALL),
+c AS (SELECT session_id, chunk_id, least(greatest(avg(coalesce(c, 0)), 0), 1) AS c FROM m GROUP BY ALL)
+SELECT session_id, sample_idx, round(coalesce(c, 0), 5) AS c FROM s LEFT JOIN c USING (session_id, chunk_id)"""
+
+
+@query(_COHERENCE)
 def coherence(spark, sf):
     two = signal(spark, sf).withColumn("b", F.sqrt(F.greatest(F.col("x"), F.lit(0.0))))
     return host.with_kernels(two, [K.Coherence("x", "b", "c", 2.0, 6.0, 32, FS)]).select(*KEY, F.round("c", 5).alias("c"))
 
 
+_TWO = {"slow": (1.5, 3.0), "fast": filters.band_edges(4.0, 2.0)}
+
+
+@query(recursive(_pole_pair("k", "slow", "x", True) + ", " + _pole_pair("l", "fast", "x", True), _pole_pair("k", "slow", "s.x") + ", " + _pole_pair("l", "fast", "s.x"), "round(abs(slow), 6) + 0.0 AS slow, round(abs(fast), 6) + 0.0 AS fast", _band("k", "1.5", "3.0") + ", " + _band("l", "4 / sqrt(2)", "4 * sqrt(2)"), ", k, l"))
+def band_fan_out(spark, sf):
+    """One stream for each band of a table; the second band is given by its centre and ratio."""
+
+    def build(p: Protocol, at: str, low: float, high: float) -> None:
+        p.kernel(K.Bandpass("x", f"y{at}", low, high, FS, order=1)).stream(f"env{at}", X.rectify(F.col(f"y{at}")))
+
+    d = Protocol(FS, CHUNK).bands(_TWO, build).apply(signal(spark, sf))
+    return d.select(*KEY, *[r6(F.col(f"env@{b}")).alias(b) for b in _TWO])
+
+
 # --- run lengths, gates -----------------------------------------------------------------
 
 _DWELL = f"""i AS (SELECT *, x > 40 AS c, max(CASE WHEN NOT x > 40 THEN sample_idx END) OVER {W} ROWS UNBOUNDED PRECEDING) AS f FROM s), d AS (SELECT *, CASE WHEN c THEN sample_idx - coalesce(f, -1) ELSE 0 END AS k FROM i)"""
@@ -275,6 +319,18 @@ def freeze_and_artifacts(spark, sf):
     return p.apply(signal(spark, sf)).select(*KEY, F.col("loud_gated").alias("frozen"), p.muted(artifacts=True).alias("artifact_muted"))
 
 
+@query(f"""WITH {SIG}, g AS (SELECT *, sum(1) OVER {W} ROWS UNBOUNDED PRECEDING) AS k FROM s WHERE NOT chunk_id BETWEEN 2 AND 4),
+h AS (SELECT session_id, sample_idx, coalesce(k - max(CASE WHEN x > 90 THEN k END) OVER {W} ROWS UNBOUNDED PRECEDING) <= 3, false) AS loud FROM g),
+q AS (SELECT *, coalesce(sample_idx - max(CASE WHEN x < 5 THEN sample_idx END) OVER {W} ROWS UNBOUNDED PRECEDING) <= 3, false) AS quiet FROM s)
+SELECT session_id, sample_idx, coalesce(loud, false) AS loud_gated, quiet AS quiet_gated, coalesce(loud, false) OR quiet AS muted FROM q LEFT JOIN h USING (session_id, sample_idx)""")
+def block_gates(spark, sf):
+    """The training phase's block lets only one inhibit gate; the other's hangover waits until the phase ends."""
+    phases = [session.Phase("warmup", 12, True), session.Phase("train", 24, inhibits=("quiet",)), session.Phase("more", None)]
+    d = session.with_phase(signal(spark, sf), phases, CHUNK).withColumn("low", -F.col("x"))
+    p = Protocol(FS, CHUNK).inhibit("loud", "x", F.lit(90.0), where=session.allows(phases, "loud")).inhibit("quiet", "low", F.lit(-5.0), where=session.allows(phases, "quiet"))
+    return p.apply(d).select(*KEY, "loud_gated", "quiet_gated", p.muted().alias("muted"))
+
+
 # --- reward, outputs ---------------------------------------------------------------------
 
 
@@ -284,6 +340,15 @@ def composite_reward(spark, sf):
     return signal(spark, sf).select(*KEY, r6(X.composite([(x / 97, 0.5, False), (x / 193, 0.25, True), ((F.col("sample_idx") % 2).cast("double"), 0.25, False)])).alias("reward"))
 
 
+@query(f"""WITH {SIG}, c AS (SELECT *, x > 30 AS c0, x < 120 AS c1, x > 30 AND x < 120 AS c FROM s), f AS (SELECT *, max(CASE WHEN NOT c THEN sample_idx END) OVER {W} ROWS UNBOUNDED PRECEDING) AS f FROM c)
+SELECT session_id, sample_idx, c0 AS reward_condition_0, c1 AS reward_condition_1, c AND sample_idx - coalesce(f, -1) = 3 AS d_event FROM f""")
+def reward_conditions(spark, sf):
+    """The parts of a reward's condition stay readable beside its event."""
+    x = F.col("x")
+    p = Protocol(FS, CHUNK).conditions("reward", [X.gt(x, F.lit(30.0)), X.lt(x, F.lit(120.0))]).dwell("d", F.col("reward"), 3)
+    return p.apply(signal(spark, sf)).select(*KEY, "reward_condition_0", "reward_condition_1", "d_event")
+
+
 def reward_protocol() -> Protocol:
     """Rectify, rolling percentile, dwell above it, sigmoid of the ratio; muted by a loud inhibit."""
     p = Protocol(FS, CHUNK).stream("env", X.rectify(F.col("x")))
@@ -351,6 +416,51 @@ def warmup_seeds(spark, sf):
     return session.seeds(signal(spark, sf), F.col("x"), F.col("chunk_id") < 2, 75.0, 12, 1.2).withColumn("seed", r6(F.col("seed")))
 
 
+_SEED = "q AS (SELECT session_id, quantile_cont(x, 0.75) * 1.2 AS seed, count(*) = 12 AS whole FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_idx DESC) AS r FROM s WHERE chunk_id < 2 AND NOT artifact) WHERE r <= 12 GROUP BY session_id)"
+
+
+@query(f"""WITH {SIG}, {_SEED}, t AS (SELECT session_id, chunk_id, (50 + session_id % 9)::DOUBLE AS value FROM s WHERE (session_id + 3 * chunk_id) % 8 = 1 GROUP BY ALL),
+o AS (SELECT session_id, bool_or(chunk_id <= 2) AS early FROM t GROUP BY ALL),
+j AS (SELECT s.session_id, sample_idx, s.chunk_id >= 2 AND NOT coalesce(early, false) AS run, seed, whole, t.value FROM s ASOF LEFT JOIN t ON s.session_id = t.session_id AND s.chunk_id >= t.chunk_id LEFT JOIN o ON o.session_id = s.session_id LEFT JOIN q ON q.session_id = s.session_id)
+SELECT session_id, sample_idx, round(CASE WHEN value IS NOT NULL THEN value WHEN run AND whole THEN seed ELSE 70 END, 6) + 0.0 AS thr, run AND NOT coalesce(whole, false) AS seed_muted FROM j""")
+def seeded_control(spark, sf):
+    """A threshold takes its seed when the warm-up ends, unless the host has set it; sessions without a whole seed stay muted."""
+    s = signal(spark, sf)
+    got = session.seeds(s, F.col("x"), (F.col("chunk_id") < 2) & ~F.col("artifact"), 75.0, 12, 1.2)
+    host_ = s.filter((F.col("session_id") + 3 * F.col("chunk_id")) % 8 == 1).select("session_id", "chunk_id", F.lit("thr").alias("name"), (50 + F.col("session_id") % 9).cast("double").alias("value")).distinct()
+    return session.with_seed(s, got, host_, "thr", 70.0, 2).select(*KEY, r6(F.col("thr")).alias("thr"), "seed_muted")
+
+
+FLOORED = [session.Phase("warmup", 12, True), session.Phase("train", 16, False, "smr", floor=True), session.Phase("rest", 8, True), session.Phase("more", None, False, "theta")]
+
+
+def _walk(src: str, i: str, e: str, held: str, frozen: str) -> str:
+    """A chunk's phase under commands (FLOORED), and the state after it."""
+    return f"""SELECT session_id, chunk_id, CASE WHEN j < 4 THEN j ELSE -1 END AS place, j + due::INT AS i, CASE WHEN due THEN 0 ELSE t END AS e, held AND NOT due AS held, frozen FROM (
+SELECT *, coalesce(NOT frozen AND NOT held AND t >= dur, false) AS due FROM (SELECT *, CASE WHEN frozen THEN e0 ELSE e0 + n END AS t FROM (
+SELECT session_id, chunk_id, n, j, e0, [12, 16, 8, NULL][j + 1] AS dur, CASE WHEN j = 1 THEN coalesce(hold, h0) ELSE h0 END AS held, coalesce(stopped, f0) AS frozen FROM (
+SELECT c.*, {i} + (adv AND {i} < 4)::INT AS j, CASE WHEN adv AND {i} < 4 THEN 0 ELSE {e} END AS e0, {held} AND NOT (adv AND {i} < 4) AS h0, {frozen} AS f0 FROM {src}))))"""
+
+
+@query(f"""WITH RECURSIVE {SIG}, c AS (SELECT session_id, chunk_id, count(*) AS n, min(sample_idx) AS first, (session_id + 3 * chunk_id) % 11 = 4 AS adv,
+ CASE (session_id + chunk_id) % 5 WHEN 0 THEN true WHEN 1 THEN false END AS hold, CASE (session_id + 2 * chunk_id) % 7 WHEN 2 THEN true WHEN 3 THEN false END AS stopped FROM s GROUP BY ALL),
+r AS ({_walk("c WHERE c.chunk_id = 0", "0", "0", "false", "false")} UNION ALL {_walk("r JOIN c ON c.session_id = r.session_id AND c.chunk_id = r.chunk_id + 1", "r.i", "r.e", "r.held", "r.frozen")}),
+g AS (SELECT *, coalesce(sample_idx - max(CASE WHEN x > 90 THEN sample_idx END) OVER {W} ROWS UNBOUNDED PRECEDING) <= 3, false) AS muted FROM s),
+h AS (SELECT g.session_id, sample_idx, place, sample_idx = first AND coalesce(stopped, false) AS reset, x > 40 AND NOT muted AND place NOT IN (0, 2) AS ok FROM g JOIN r USING (session_id, chunk_id) JOIN c USING (session_id, chunk_id) WHERE place >= 0),
+b AS (SELECT *, max(CASE WHEN NOT ok THEN sample_idx WHEN reset THEN sample_idx - 1 END) OVER {W} ROWS UNBOUNDED PRECEDING) AS last FROM h)
+SELECT session_id, sample_idx, place AS phase_index, ['warmup', 'train', 'rest', 'more'][place + 1] AS phase, place IN (0, 2) AS phase_muted, reset AS hold_reset, ok AND sample_idx - coalesce(last, -1) >= 3 AS h_holds FROM b""")
+def host_commands(spark, sf):
+    """A host advances phases, holds one past its floor and freezes the clock, which starts held outputs anew; muted samples break them."""
+    s = signal(spark, sf)
+    at = F.col("session_id"), F.col("chunk_id")
+    hold, freeze = (at[0] + at[1]) % 5, (at[0] + 2 * at[1]) % 7
+    rows = {"advance": F.when((at[0] + 3 * at[1]) % 11 == 4, 1.0), "hold": F.when(hold == 0, 1.0).when(hold == 1, 0.0), "freeze": F.when(freeze == 2, 1.0).when(freeze == 3, 0.0)}
+    told = s.select(*at).distinct().select(*at, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in rows.items()]))).filter("value is not null")
+    p = Protocol(FS, CHUNK).inhibit("loud", "x", F.lit(90.0))
+    p.output_hold("h", X.gt(F.col("x"), F.lit(40.0)), 3, suppressed=F.col("phase_muted"), reset=F.col("hold_reset"))
+    return p.apply(session.with_commands(s, FLOORED, told)).select(*KEY, F.col("phase_index").cast("long").alias("phase_index"), "phase", "phase_muted", "hold_reset", "h_holds")
+
+
 @query(f"""WITH {SIG}, k AS (SELECT *, chunk_id // 2 AS b, row_number() OVER (PARTITION BY session_id, chunk_id // 2 ORDER BY sample_idx DESC) AS r FROM s WHERE NOT artifact)
 SELECT session_id, b + 1 AS block, CASE WHEN count(*) = 6 THEN round(quantile_cont(x, 0.5), 6) + 0.0 END AS reseed FROM k WHERE r <= 6 GROUP BY session_id, b""")
 def block_reseeds(spark, sf):
@@ -384,22 +494,45 @@ def advisor_buckets(spark, sf):
 _SUMS = ["n_train", "n_clean", "n_cond", "loud_n", "calm_n", "emg_n"]
 
 
-@query(f"""WITH {SIG}, {_BUCKET}, pairs AS (SELECT c.session_id, c.chunk_id, j.chunk_id AS back, {', '.join(f'sum(j.{n}) OVER (PARTITION BY c.session_id, c.chunk_id ORDER BY j.chunk_id DESC) AS {n}' for n in _SUMS)}, j.n_clean AS own FROM b c JOIN b j ON c.session_id = j.session_id AND j.chunk_id BETWEEN c.chunk_id - 5 AND c.chunk_id),
+_DECIDED = f"""{_BUCKET}, pairs AS (SELECT c.session_id, c.chunk_id, j.chunk_id AS back, {', '.join(f'sum(j.{n}) OVER (PARTITION BY c.session_id, c.chunk_id ORDER BY j.chunk_id DESC) AS {n}' for n in _SUMS)}, j.n_clean AS own FROM b c JOIN b j ON c.session_id = j.session_id AND j.chunk_id BETWEEN c.chunk_id - 5 AND c.chunk_id),
 e AS (SELECT * FROM pairs WHERE n_clean - own < 12 QUALIFY row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY back) = 1),
-d AS (SELECT b.session_id, b.chunk_id, b.n_train, e.n_clean::BIGINT AS n_clean_w, e.n_cond::BIGINT AS n_cond_w, CASE WHEN e.n_clean > 0 THEN e.n_cond / e.n_clean END AS rate, CASE WHEN e.n_train > 0 THEN e.emg_n / e.n_train ELSE 0.0 END AS guard FROM b JOIN e USING (session_id, chunk_id))
-SELECT session_id, chunk_id, n_clean_w, n_cond_w, round(rate, 6) AS pass_rate, round(guard, 6) AS guard_rate, CASE WHEN n_train = 0 THEN 'idle' WHEN guard > 0.15 THEN 'guarded' WHEN n_clean_w < 12 THEN 'collecting' WHEN rate < 0.5 THEN 'easier' WHEN rate > 0.75 THEN 'harder' ELSE 'hold' END AS advice FROM d""")
+d AS (SELECT b.session_id, b.chunk_id, b.n_train, e.n_clean::BIGINT AS n_clean_w, e.n_cond::BIGINT AS n_cond_w, e.loud_n / e.n_clean AS loud, e.calm_n / e.n_clean AS calm, CASE WHEN e.n_clean > 0 THEN e.n_cond / e.n_clean END AS rate, CASE WHEN e.n_train > 0 THEN e.emg_n / e.n_train ELSE 0.0 END AS guard FROM b JOIN e USING (session_id, chunk_id)),
+a AS (SELECT *, CASE WHEN n_train = 0 THEN 'idle' WHEN guard > 0.15 THEN 'guarded' WHEN n_clean_w < 12 THEN 'collecting' WHEN rate < 0.5 THEN 'easier' WHEN rate > 0.75 THEN 'harder' ELSE 'hold' END AS advice FROM d)"""
+
+
+@query(f"WITH {SIG}, {_DECIDED} SELECT session_id, chunk_id, n_clean_w, n_cond_w, round(rate, 6) AS pass_rate, round(guard, 6) AS guard_rate, advice FROM a")
 def advisor_decisions(spark, sf):
     e = advisor.evidence(_buckets(spark, sf), 12, 6, _SUMS)
     return advisor.decide(e, 12, ["emg"]).withColumn("pass_rate", F.round("pass_rate", 6)).withColumn("guard_rate", F.round("guard_rate", 6))
 
 
-@query()
+def _suggest(last: str, way: str) -> str:
+    fire = f"(way <> 0 AND coalesce(w.chunk_id - {last} >= 2, true))"
+    return f"w.session_id, w.chunk_id, advice, {fire} AS suggested, {fire} AND {way} = -w.way AS reversal, CASE WHEN {fire} THEN w.chunk_id ELSE {last} END AS last, CASE WHEN {fire} THEN w.way ELSE {way} END AS gone".replace("(way", "(w.way")
+
+
+@query(f"""WITH RECURSIVE {SIG}, {_DECIDED}, w AS (SELECT session_id, chunk_id, advice, CASE advice WHEN 'harder' THEN 1 WHEN 'easier' THEN -1 ELSE 0 END AS way FROM a),
+r AS (SELECT {_suggest('NULL::BIGINT', '0')} FROM w WHERE chunk_id = 0 UNION ALL SELECT {_suggest('r.last', 'r.gone').replace('advice,', 'w.advice,')} FROM r JOIN w ON w.session_id = r.session_id AND w.chunk_id = r.chunk_id + 1)
+SELECT session_id, chunk_id, advice, suggested, reversal FROM r""")
 def advisor_suggestions(spark, sf):
     e = advisor.evidence(_buckets(spark, sf), 12, 6, _SUMS)
     d = advisor.suggest(advisor.decide(e, 12, ["emg"]), 2)
     return d.select("session_id", "chunk_id", "advice", "suggested", "reversal")
 
 
+@query(f"""WITH {SIG}, {_DECIDED}, m AS (SELECT *, CASE advice WHEN 'harder' THEN 1 WHEN 'easier' THEN -1 ELSE 0 END AS way FROM a)
+SELECT session_id, chunk_id, advice, CASE way WHEN -1 THEN CASE WHEN calm <= loud THEN 'calm' ELSE 'loud' END WHEN 1 THEN CASE WHEN loud >= calm THEN 'loud' ELSE 'calm' END END AS limiter,
+(20 + 2.5 * way)::DOUBLE AS stepped, CASE way WHEN 1 THEN 110 WHEN -1 THEN 130 ELSE 120 END::DOUBLE AS scaled FROM m""")
+def advisor_proposals(spark, sf):
+    """The check that limits, a fixed step of one control, a share of another one that gets harder as it falls."""
+    e = advisor.evidence(_buckets(spark, sf), 12, 6, _SUMS)
+    d = advisor.decide(e, 12, ["emg"], keep=("loud_n_w", "calm_n_w"))
+    limit = advisor.limiter(F.col("advice"), {n: F.col(f"{n}_n_w") / F.nullif(F.col("n_clean_w"), F.lit(0)) for n in ("loud", "calm")})
+    stepped = advisor.propose(F.lit(20.0), F.col("advice"), 2.5, 10.0, 40.0)
+    scaled = advisor.propose_proportional(F.lit(120.0), F.col("advice"), 0.1, 10.0, 50.0, 200.0, harder_is_up=False)
+    return d.select("session_id", "chunk_id", "advice", limit.alias("limiter"), stepped.alias("stepped"), scaled.alias("scaled"))
+
+
 @query(f"""WITH {SIG}, f AS (SELECT session_id, sample_idx, unnest([x, x * 0.5, x + sample_idx % 3]) AS v FROM s) SELECT session_id::VARCHAR AS session_id, sample_idx, bool_and(v > 25) AS all_sites FROM f GROUP BY ALL""")
 def site_fan_out(spark, sf):
     x = F.col("x")
@@ -408,7 +541,7 @@ def site_fan_out(spark, sf):
     return both.select(F.col("session_id").cast("string").alias("session_id"), "sample_idx", F.col("condition").alias("all_sites"))
 
 
-@query(recursive("x AS y", f"{_A!r} * s.x + (1 - {_A!r}) * r.y", "round(y, 6) + 0.0 AS y"))
+@query(_SMOOTH)
 def streaming_smooth(spark, sf):
     """The smoothing kernel under Structured Streaming: samples are written as a stream's files, processed micro-batch by micro-batch, and the sink is read."""
     import tempfile

@@ -41,6 +41,19 @@ def test_band_pass_design(kind, edge):
         assert gain(sos, 12) == pytest.approx(edge, abs=2e-3) and gain(sos, 15) == pytest.approx(edge, abs=2e-3)
 
 
+# Sections of a fourth-order Butterworth band-pass, 12 to 15 Hz at 256 Hz.
+SECTIONS = [
+    [1.6715446089233602e-06, 3.3430892178467204e-06, 1.6715446089233602e-06, 1.0, -1.8185096561303429, 0.9315627107642395],
+    [1.0, 2.0, 1.0, 1.0, -1.8412452919491165, 0.9368353820975004],
+    [1.0, -2.0, 1.0, 1.0, -1.839707340181905, 0.9695237593944186],
+    [1.0, -2.0, 1.0, 1.0, -1.8884806674118457, 0.974950612677361],
+]
+
+
+def test_band_pass_has_the_fixed_sections():
+    assert np.allclose(Fl.bandpass_sos(12.0, 15.0, FS, 4), SECTIONS, rtol=1e-8, atol=1e-12)
+
+
 def test_band_pass_rejects_bad_bands():
     for band in ((0, 5), (5, 4), (5, 128)):
         with pytest.raises(ValueError):

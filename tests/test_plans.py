@@ -146,3 +146,59 @@ def test_custom_functions(samples):
 
 def _twice(x: pd.Series) -> pd.Series:
     return x * 2
+
+
+def walk(phases, rows):
+    k = session.Cursor(phases)
+    cols = {n: np.array([r.get(n, math.nan) for r in rows]) for n in ("advance", "hold", "freeze")}
+    return k.step({"n": np.full(len(rows), 8.0), **cols})["at"].tolist()
+
+
+def test_commands_move_the_cursor():
+    floor = [session.Phase("a", 16, floor=True), session.Phase("b", 8), session.Phase("c", None)]
+    assert walk(floor, [{}] * 5) == [0, 0, 1, 2, 2]
+    assert walk(floor, [{"hold": 1.0}, {}, {}, {"hold": 0.0}, {}, {}]) == [0, 0, 0, 0, 1, 2]
+    assert walk(floor, [{"freeze": 1.0}, {}, {"freeze": 0.0}, {}, {}]) == [0, 0, 0, 0, 1]
+    assert walk(floor, [{"advance": 1.0}, {"hold": 1.0}, {}, {"advance": 1.0}, {}]) == [1, 2, 2, -1, -1]
+    assert walk([session.Phase("a", 8)], [{}, {"advance": 1.0}]) == [0, -1]
+
+
+def test_cursor_without_commands_is_the_timeline(spark, samples):
+    phases = [session.Phase("a", 20, True), session.Phase("b", 40), session.Phase("c", 8)]
+    d = with_chunk(samples, 8)
+    none = spark.createDataFrame([], "session_id long, chunk_id long, name string, value double")
+    cols = ["session_id", "sample_idx", "phase_index", "phase", "phase_muted"]
+    got, want = (sorted(map(tuple, x.select(cols).collect())) for x in (session.with_commands(d, phases, none), session.with_phase(d, phases, 8)))
+    assert got == want and got
+
+
+def test_resets_start_holds_anew(spark):
+    rows = [(1, i, c, r) for i, (c, r) in enumerate([(True, False), (True, False), (True, True), (True, False), (False, False), (True, True)])]
+    d = spark.createDataFrame(rows, "session_id long, sample_idx long, c boolean, r boolean")
+    out = runs.with_dwell(d, F.col("c"), 2, "h", F.col("r")).orderBy("sample_idx").collect()
+    assert [r.h_holds for r in out] == [False, True, False, True, False, False]
+    assert [r.h_event for r in out] == [False, True, False, True, False, False]
+
+
+def test_a_gate_that_is_not_allowed_waits(spark):
+    rows = [(1, i, a, ok) for i, (a, ok) in enumerate([(True, True), (False, False), (True, False), (False, True), (False, True), (False, None)])]
+    d = spark.createDataFrame(rows, "session_id long, sample_idx long, a boolean, ok boolean")
+    out = runs.with_gate(d, F.col("a"), 1, F.col("ok"), "g").orderBy("sample_idx").collect()
+    assert [r.g_gated for r in out] == [True, False, False, True, False, False]
+
+
+def test_seeds_take_effect_fail_closed_or_are_disarmed(spark):
+    d = with_chunk(spark.createDataFrame([(s, i, float(i)) for s in (1, 2, 3, 4) for i in range(6)], "session_id long, sample_idx long, x double"), 2)
+    seeds = spark.createDataFrame([(1, 7.0, True), (2, 7.0, False), (4, 7.0, True)], "session_id long, seed double, seeded boolean")
+    host = spark.createDataFrame([(3, 0, "thr", 5.0), (4, 2, "thr", 9.0)], "session_id long, chunk_id long, name string, value double")
+    out = session.with_seed(d, seeds, host, "thr", 1.0, 1).orderBy("session_id", "sample_idx").collect()
+    each = {s: [(r.thr, r.seed_muted) for r in out if r.session_id == s][::2] for s in (1, 2, 3, 4)}
+    assert each[1] == [(1.0, False), (7.0, False), (7.0, False)]
+    assert each[2] == [(1.0, False), (1.0, True), (1.0, True)]
+    assert each[3] == [(5.0, False)] * 3
+    assert each[4] == [(1.0, False), (7.0, False), (9.0, False)]
+
+
+def test_kernels_take_nan_in_columns_that_are_never_null(spark):
+    d = spark.range(4).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("sample_idx"), F.coalesce(F.lit(None).cast("double"), F.lit(float("nan"))).alias("x"))
+    assert len(with_kernels(d, [K.Dwell("x", "d", 1)]).collect()) == 4
