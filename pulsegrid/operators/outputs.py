@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip01
 from .samples import CHUNK, INDEX, SESSION
 
+# The channels that hosts know, by kind. Others are allowed.
+KNOWN = {"analog": ("audio_gain", "video_clarity", "video_brightness", "ambient_density"), "event": ("audio_chime", "score_increment")}
+
+
+def check_kind(kind: str, channel: str) -> None:
+    """A known channel has to be used as its kind."""
+    for k, names in KNOWN.items():
+        if channel in names and k != kind:
+            raise ValueError(f"{channel} is a channel of kind {k}")
+
 
 def analog(samples: DataFrame, channel: str, value: Column, muted: Column, fs: float) -> DataFrame:
     """One row a chunk: the mean of the clipped signal, 0 where muted, at the chunk's first sample."""

@@ -89,10 +89,12 @@ class Protocol:
         return self
 
     def analog(self, channel: str, value: Column) -> "Protocol":
+        outputs.check_kind("analog", channel)
         self.channels.append(("analog", channel, lambda: value))
         return self
 
     def event(self, channel: str, fires: Column) -> "Protocol":
+        outputs.check_kind("event", channel)
         self.channels.append(("event", channel, lambda: fires))
         return self
 

@@ -202,3 +202,12 @@ def test_seeds_take_effect_fail_closed_or_are_disarmed(spark):
 def test_kernels_take_nan_in_columns_that_are_never_null(spark):
     d = spark.range(4).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("sample_idx"), F.coalesce(F.lit(None).cast("double"), F.lit(float("nan"))).alias("x"))
     assert len(with_kernels(d, [K.Dwell("x", "d", 1)]).collect()) == 4
+
+
+def test_known_channels_keep_their_kind():
+    from pulsegrid.operators import outputs
+
+    outputs.check_kind("event", "audio_chime")
+    outputs.check_kind("event", "anything")
+    with pytest.raises(ValueError):
+        outputs.check_kind("analog", "audio_chime")
