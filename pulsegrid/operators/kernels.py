@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 
@@ -30,29 +31,46 @@ class Kernel:
 
 
 class Smooth(Kernel):
-    """y = y + alpha (x - y), from y[0] = x[0]; blocks of samples by one triangular product."""
+    """y = y + alpha (x - y), from y[0] = x[0]; blocks of samples by one triangular product.
+
+    ``tau_column``: a live time constant in seconds; what isn't above 0 leaves the last one, and y goes on from where it is.
+    """
 
     BLOCK = 64
 
-    def __init__(self, x: str, out: str, tau_s: float, fs: float):
-        self.inputs, self.outputs = [x], {out: "double"}
-        self.alpha, self.y = filters.smoothing_factor(tau_s, fs), None
-        k = np.arange(self.BLOCK)
-        keep = 1.0 - self.alpha
-        self.table = np.where(k[:, None] >= k, self.alpha * keep ** np.maximum(k[:, None] - k, 0), 0.0)
-        self.decay = keep ** (k + 1)
+    def __init__(self, x: str, out: str, tau_s: float, fs: float, tau_column: str | None = None):
+        self.inputs, self.outputs = [x, *([tau_column] if tau_column else [])], {out: "double"}
+        self.fs, self.y = fs, None
+        self.retune(tau_s)
 
-    def step(self, c: Columns) -> Columns:
-        x = c[self.inputs[0]].astype(float)
-        if len(x) and self.y is None:
-            self.y = x[0]
+    def retune(self, tau_s: float) -> None:
+        self.tau, alpha, k = tau_s, filters.smoothing_factor(tau_s, self.fs), np.arange(self.BLOCK)
+        self.table = np.where(k[:, None] >= k, alpha * (1.0 - alpha) ** np.maximum(k[:, None] - k, 0), 0.0)
+        self.decay = (1.0 - alpha) ** (k + 1)
+
+    def _run(self, x: np.ndarray) -> np.ndarray:
         y = np.empty(len(x))
         for i in range(0, len(x), self.BLOCK):
             b = x[i : i + self.BLOCK]
             n = len(b)
             y[i : i + n] = self.table[:n, :n] @ b + self.decay[:n] * self.y
             self.y = y[i + n - 1]
-        return {next(iter(self.outputs)): y}
+        return y
+
+    def step(self, c: Columns) -> Columns:
+        x = c[self.inputs[0]].astype(float)
+        if len(x) and self.y is None:
+            self.y = x[0]
+        if len(self.inputs) == 1:
+            return {next(iter(self.outputs)): self._run(x)}
+        tau = c[self.inputs[1]].astype(float)
+        cuts = [0, *(np.flatnonzero(tau[1:] != tau[:-1]) + 1).tolist(), len(x)]
+        parts = [np.empty(0)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b and tau[a] > 0 and tau[a] != self.tau:
+                self.retune(float(tau[a]))
+            parts.append(self._run(x[a:b]))
+        return {next(iter(self.outputs)): np.concatenate(parts)}
 
 
 class Bandpass(Kernel):
@@ -165,6 +183,46 @@ class Percentile(Kernel):
             self.add(value)
 
 
+class Map(Kernel):
+    """A stateless stream: f(columns as arrays) -> array."""
+
+    def __init__(self, inputs: list[str], out: str, f: Callable[..., np.ndarray], kind: str = "double"):
+        self.inputs, self.outputs, self.f = inputs, {out: kind}, f
+
+    def step(self, c: Columns) -> Columns:
+        return {next(iter(self.outputs)): self.f(*[c[n] for n in self.inputs])}
+
+
+class Fir(Kernel):
+    """Sum of taps[j] * x[i - j], zeros before the start: windows.fir with its memory kept; complex taps give the magnitude."""
+
+    def __init__(self, x: str, out: str, taps: np.ndarray):
+        self.inputs, self.outputs, self.taps = [x], {out: "double"}, np.asarray(taps)
+        self.past = np.zeros(len(self.taps) - 1)
+
+    def step(self, c: Columns) -> Columns:
+        x = np.concatenate([self.past, c[self.inputs[0]].astype(float)])
+        self.past = x[len(x) - len(self.past) :]
+        y = np.convolve(x, self.taps, "valid") if len(x) >= len(self.taps) else np.empty(0)
+        return {next(iter(self.outputs)): np.abs(y) if np.iscomplexobj(y) else y}
+
+
+class Gate(Kernel):
+    """Active, or at most ``release`` samples after the last active one: runs.hangover with its memory kept."""
+
+    def __init__(self, active: str, out: str, release: int):
+        self.inputs, self.outputs, self.release = [active], {out: "boolean"}, release
+        self.ago: float = math.inf
+
+    def step(self, c: Columns) -> Columns:
+        on = c[self.inputs[0]].astype(bool)
+        at = np.arange(len(on))
+        last = np.maximum.accumulate(np.where(on, at, -1 - self.ago)) if len(on) else np.empty(0)
+        ago = at - last
+        self.ago = float(ago[-1]) if len(on) else self.ago
+        return {next(iter(self.outputs)): ago <= self.release}
+
+
 class AutoRange(Kernel):
     def __init__(self, x: str, out: str, n: int, low: float = 5.0, high: float = 95.0):
         self.inputs, self.outputs, self.low, self.high = [x], {out: "double"}, low, high
@@ -190,10 +248,14 @@ class AutoRange(Kernel):
 
 
 class Dwell(Kernel):
-    """Streak of a condition with a tolerance for dips; samples that aren't observable freeze it. Gives <out>_holds and <out>_event."""
+    """Streak of a condition with a tolerance for dips; samples that aren't observable freeze it. Gives <out>_holds and <out>_event.
 
-    def __init__(self, condition: str, out: str, count: int, tolerance: int = 0, observable: str | None = None):
-        self.inputs, self.outputs = [condition, *([observable] if observable else [])], {f"{out}_holds": "boolean", f"{out}_event": "boolean"}
+    ``count_column``: a live duration in samples; a new one starts the streak anew, what isn't above 0 leaves the last one.
+    """
+
+    def __init__(self, condition: str, out: str, count: int, tolerance: int = 0, observable: str | None = None, count_column: str | None = None):
+        self.inputs, self.outputs = [condition, *([observable] if observable else []), *([count_column] if count_column else [])], {f"{out}_holds": "boolean", f"{out}_event": "boolean"}
+        self.count_column = count_column
         self.out, self.count, self.tolerance, self.observable = out, max(1, count), tolerance, observable
         self.streak = self.dip = 0
         self.held = False
@@ -202,7 +264,10 @@ class Dwell(Kernel):
         holds, events = [], []
         cond = c[self.inputs[0]].tolist()
         seen = c[self.observable].tolist() if self.observable else [True] * len(cond)
-        for v, ok in zip(cond, seen):
+        counts = c[self.count_column].astype(float).tolist() if self.count_column else [0.0] * len(cond)
+        for v, ok, count in zip(cond, seen, counts):
+            if count > 0 and max(1, round(count)) != self.count:
+                self.count, self.streak, self.dip, self.held = max(1, round(count)), 0, 0, False
             if ok:
                 if v:
                     self.streak, self.dip = self.streak + 1, 0

@@ -159,3 +159,46 @@ def reseeds(samples: DataFrame, x: Column, block: Column, fresh: Column, pct: fl
     kept = rows.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= n)
     got = kept.groupBy(SESSION, "block").agg(F.percentile("_x", F.lit(pct / 100.0)).alias("v"), F.count(F.lit(1)).alias("c"))
     return got.select(SESSION, (F.col("block") + 1).alias("block"), F.when(F.col("c") == n, F.col("v")).alias("reseed"))
+
+
+class Refill(Kernel):
+    """Rows of blocks in order: whether ``n`` fresh samples have come since the last block that took a new value, before this one."""
+
+    def __init__(self, count: str, out: str, n: int):
+        self.inputs, self.outputs, self.n, self.fresh = [count], {out: "boolean"}, n, 0.0
+
+    def step(self, c: Columns) -> Columns:
+        full = []
+        for k in c[self.inputs[0]].astype(float).tolist():
+            full.append(self.fresh >= self.n)
+            self.fresh = k + (0.0 if full[-1] else self.fresh)
+        return {next(iter(self.outputs)): np.array(full, bool)}
+
+
+def with_reseeds(samples: DataFrame, timeline: DataFrame, name: str, x: Column, block: Column, fresh: Column, pct: float, n: int, scale: float = 1.0, low: float | None = None, high: float | None = None, dead: Column | None = None) -> DataFrame:
+    """The control ``name`` (a column, from with_controls or with_seed) measured anew where a block starts, and hold_reset at the samples where that wrote a value.
+
+    The value is the percentile of the last n fresh finite samples times scale (then clamped). A block that finds fewer than n since
+    the last write keeps the old value, and what is there counts for the next. Blocks are numbers that grow by chunks. A host's write
+    (``timeline``, as in with_controls) ends it for the session, at its own chunk already; so does ``dead`` (a failed seed) at a
+    block's first sample. A fresh sample belongs to one write at most, so all windows are one partitioning, not a range join.
+    """
+    ok = F.coalesce(fresh, F.lit(False)) & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rows = samples.select(SESSION, INDEX, CHUNK, block.cast("long").alias("_b"), ok.alias("_ok"), x.alias("_x"), F.coalesce(F.lit(False) if dead is None else dead, F.lit(False)).alias("_dead"))
+    blocks = rows.groupBy(SESSION, "_b").agg(F.count_if("_ok").cast("double").alias("_n"), F.min(CHUNK).alias("_c"), F.min(INDEX).cast("double").alias("_i"), F.min_by("_dead", INDEX).alias("_d"))
+    filled = with_kernels(blocks.withColumn(INDEX, F.col("_b")), [Refill("_n", "_w", n)]).drop(INDEX)
+    later = Window.partitionBy(SESSION).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    asks = filled.withColumn("_to", F.min(F.when(F.col("_w"), F.col("_b"))).over(later)).filter("_to is not null").select(SESSION, "_b", "_to")
+    back = Window.partitionBy(SESSION, "_to").orderBy(F.desc(INDEX))
+    last = rows.filter("_ok").join(asks, [SESSION, "_b"]).withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= n)
+    value = F.percentile("_x", F.lit(pct / 100.0)) * scale
+    if scale != 1.0 and low is not None and high is not None:
+        value = F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    made = last.groupBy(SESSION, F.col("_to").alias("_b")).agg(value.alias("_v")).join(filled.filter(~F.col("_d")).select(SESSION, "_b", "_c", "_i"), [SESSION, "_b"])
+    marks = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in ("_v", "_i")])
+    set_ = with_controls(samples, made.select(SESSION, F.col("_c").alias(CHUNK), F.inline(marks)), {"_v": float("nan"), "_i": -1.0})
+    host = timeline.filter(F.col("name") == name).groupBy(SESSION).agg(F.min(CHUNK).alias("_host"))
+    out = set_.join(host, SESSION, "left")
+    # written before the host took over: the host's chunk is later than the block's first one
+    mine = ~F.isnan("_v") & (F.col("_host").isNull() | (F.col(CHUNK) < F.col("_host")))
+    return out.withColumn("hold_reset", mine & (F.col(INDEX) == F.col("_i"))).withColumn(name, F.when(mine, F.col("_v")).otherwise(F.col(name))).drop("_v", "_i", "_host")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from .operators import host, kernels as K, outputs, runs, windows
 from .operators.samples import by_session, with_chunk, with_index, with_windows
 from .plans import advisor, session
 from .plans.protocol import Protocol, combined, fan_out
+from .streaming.processor import stream_kernels, stream_outputs
 
 FS, CHUNK = 16.0, 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,6 +469,36 @@ def block_reseeds(spark, sf):
     return session.reseeds(signal(spark, sf), F.col("x"), F.floor(F.col("chunk_id") / 2), ~F.col("artifact"), 50.0, 6).withColumn("reseed", r6(F.col("reseed")))
 
 
+@query(f"""WITH RECURSIVE {SIG}, k AS (SELECT *, chunk_id // 2 AS b, count(*) FILTER (NOT artifact) OVER {W} ROWS UNBOUNDED PRECEDING) AS c FROM s),
+e AS (SELECT session_id, b, max(c) AS upto FROM k GROUP BY ALL),
+r AS (SELECT session_id, b, upto, 0::BIGINT AS used, false AS wrote FROM e WHERE b = 0
+UNION ALL SELECT e.session_id, e.b, e.upto, CASE WHEN r.upto - r.used >= 20 THEN r.upto ELSE r.used END, r.upto - r.used >= 20 FROM r JOIN e ON e.session_id = r.session_id AND e.b = r.b + 1),
+v AS (SELECT r.session_id, r.b, quantile_cont(x, 0.5) * 1.1 AS value FROM r JOIN k ON k.session_id = r.session_id AND NOT k.artifact AND k.c <= r.used AND k.c > r.used - 20 WHERE wrote GROUP BY ALL),
+t AS (SELECT session_id, chunk_id, (50 + session_id % 9)::DOUBLE AS told FROM s WHERE (session_id + 3 * chunk_id) % 16 = 1 GROUP BY ALL),
+h AS (SELECT session_id, min(chunk_id) AS host FROM t GROUP BY ALL),
+j AS (SELECT k.*, v.b AS vb, CASE WHEN v.value IS NOT NULL AND (host IS NULL OR k.chunk_id < host) THEN least(greatest(v.value, 30), 90) END AS own, told FROM k ASOF LEFT JOIN v ON k.session_id = v.session_id AND k.b >= v.b ASOF LEFT JOIN t ON k.session_id = t.session_id AND k.chunk_id >= t.chunk_id LEFT JOIN h ON h.session_id = k.session_id)
+SELECT session_id, sample_idx, round(coalesce(own, told, 70), 6) + 0.0 AS thr, own IS NOT NULL AND sample_idx = 16 * vb AS hold_reset FROM j""")
+def reseeded_control(spark, sf):
+    """A threshold measured anew at each block that finds enough fresh samples; else it stays, and the host's word ends it."""
+    s = signal(spark, sf)
+    host_ = s.filter((F.col("session_id") + 3 * F.col("chunk_id")) % 16 == 1).select("session_id", "chunk_id", F.lit("thr").alias("name"), (50 + F.col("session_id") % 9).cast("double").alias("value")).distinct()
+    d = session.with_controls(s, host_, {"thr": 70.0})
+    out = session.with_reseeds(d, host_, "thr", F.col("x"), F.floor(F.col("chunk_id") / 2), ~F.col("artifact"), 50.0, 20, 1.1, 30.0, 90.0)
+    return out.select(*KEY, r6(F.col("thr")).alias("thr"), "hold_reset")
+
+
+_LIVE = lambda y, k, live, last: f"""{y} AS y, CASE WHEN NOT s.x > 40 THEN 0 WHEN {live} <> {last} THEN 1 ELSE {k} + 1 END AS k, {live} AS live"""
+_TAU, _COUNT = "(CASE WHEN s.chunk_id % 3 = 0 THEN 0.5 ELSE 0.125 END)", "(2 + s.chunk_id // 2 % 2)"
+
+
+@query(recursive(_LIVE("s.x", "0", _COUNT, "2"), _LIVE(f"r.y + (1 - exp(-1 / ({_TAU} * 16))) * (s.x - r.y)", "r.k", _COUNT, "r.live"), "round(y, 6) + 0.0 AS y, k >= live AS d_holds"))
+def live_retuning(spark, sf):
+    """A smoothing time and a hold's duration that controls change: the average goes on from where it is, the hold starts anew."""
+    s = signal(spark, sf).withColumn("c", X.gt(F.col("x"), F.lit(40.0)))
+    s = s.withColumn("tau", F.when(F.col("chunk_id") % 3 == 0, 0.5).otherwise(0.125)).withColumn("n", 2.0 + F.floor(F.col("chunk_id") / 2) % 2)
+    return host.with_kernels(s, [K.Smooth("x", "y", 1.0, FS, "tau"), K.Dwell("c", "d", 2, count_column="n")]).select(*KEY, r6(F.col("y")).alias("y"), "d_holds")
+
+
 @query(f"""WITH {SIG}, l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_idx DESC) AS r FROM s), t AS (SELECT session_id, quantile_cont(x, 0.7) AS value, count(*) AS n_eff FROM l WHERE r <= 32 GROUP BY session_id)
 SELECT session_id, round(value, 6) + 0.0 AS value, 70.0::DOUBLE AS target_pct, n_eff FROM t""")
 def tracker_state(spark, sf):
@@ -541,23 +573,44 @@ def site_fan_out(spark, sf):
     return both.select(F.col("session_id").cast("string").alias("session_id"), "sample_idx", F.col("condition").alias("all_sites"))
 
 
-@query(_SMOOTH)
-def streaming_smooth(spark, sf):
-    """The smoothing kernel under Structured Streaming: samples are written as a stream's files, processed micro-batch by micro-batch, and the sink is read."""
+def _streamed(spark: SparkSession, sf: str, live: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``live`` gives for the samples as a stream: they are written as files, processed micro-batch by micro-batch, and the sink is read."""
     import tempfile
     import uuid
 
-    from .streaming.processor import stream_kernels
-
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     at = f"{(shared or tempfile.mkdtemp(prefix='pulsegrid-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     signal(spark, sf).select(*KEY, "x").repartition(4, "sample_idx").write.parquet(f"{at}/in")
     stream = spark.readStream.schema("session_id long, sample_idx long, x double").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-    q = stream_kernels(stream, [K.Smooth("x", "y", 0.5, FS)]).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = live(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(*KEY, r6(F.col("y")).alias("y"))
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(_SMOOTH)
+def streaming_smooth(spark, sf):
+    """The smoothing kernel under Structured Streaming."""
+    return _streamed(spark, sf, lambda s: stream_kernels(s, [K.Smooth("x", "y", 0.5, FS)])).select(*KEY, r6(F.col("y")).alias("y"))
+
+
+def _gain(env, thr):
+    ratio = np.divide(env, thr, out=np.zeros(len(env)), where=thr != 0)
+    return 1.0 / (1.0 + np.exp(-4.0 * (ratio - 1.0)))
+
+
+@query(f"""WITH {SIG}, {_REWARD}, z AS (SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY session_id, chunk_id) = 8)
+SELECT session_id, min(sample_idx) / 16.0::DOUBLE AS timestamp_s, 'audio_gain' AS channel, 'value' AS kind, round(avg(CASE WHEN muted THEN 0 ELSE gain END), 6) + 0.0 AS value FROM z GROUP BY session_id, chunk_id
+UNION ALL SELECT session_id, sample_idx / 16.0::DOUBLE, 'audio_chime', 'event', NULL FROM z WHERE k = 2 AND NOT muted""")
+def streaming_outputs(spark, sf):
+    """The protocol of reward_outputs live: one stateful pass from samples to output rows, for whole chunks."""
+    steps = [
+        K.Map(["x"], "env", np.abs), K.Percentile("env", "thr", 70.0, 32), K.Map(["x"], "loud", lambda x: x > 150.0, "boolean"), K.Gate("loud", "muted", 3),
+        K.Map(["env", "thr"], "above", np.greater, "boolean"), K.Dwell("above", "reward", 2), K.Map(["env", "thr"], "gain", _gain),
+    ]
+    outs = [("analog", "audio_gain", "gain"), ("event", "audio_chime", "reward_event")]
+    return _streamed(spark, sf, lambda s: stream_outputs(s, steps, outs, CHUNK, FS, "muted")).withColumn("value", r6(F.col("value")))
 
 
 def entry(spark: SparkSession) -> DataFrame:

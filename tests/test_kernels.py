@@ -202,3 +202,24 @@ def test_null_sessions_and_any_batches(spark):
         seen.append(by)
     assert seen[0] == seen[1]
     assert "c" not in with_kernels(samples, kernels[:2]).columns
+
+
+def test_live_time_constant_and_duration():
+    x, tau = RNG.normal(size=90), np.r_[np.full(30, 0.5), np.full(20, 0.1), np.full(10, -1.0), np.full(30, 0.5)]
+    y, want, last = x[0], [], 0.5
+    for v, t in zip(x, tau):
+        last = t if t > 0 else last
+        y += (1 - math.exp(-1 / (last * FS))) * (v - y)
+        want.append(y)
+    for size in (None, 7):
+        np.testing.assert_allclose(run(K.Smooth("x", "y", 0.5, FS, "t"), {"x": x, "t": tau}, size)["y"], want)
+    c, n = np.ones(8, bool), np.array([2, 2, 2, 3, 3, 3, 0, 3.0])
+    got = run(K.Dwell("c", "d", 2, count_column="n"), {"c": c, "n": n}, 3)
+    assert got["d_holds"].tolist() == [False, True, True, False, False, True, True, True]
+    assert got["d_event"].tolist() == [False, True, False, False, False, True, False, False]
+
+
+def test_gate_keeps_its_hangover_between_batches():
+    a = np.array([False, True, False, False, False, False, True, False])
+    for size in (None, 1, 3):
+        assert run(K.Gate("a", "g", 2), {"a": a}, size)["g"].tolist() == [False, True, True, True, False, False, True, True]

@@ -15,7 +15,7 @@ from pulsegrid.operators.host import with_kernels
 from pulsegrid.operators.samples import with_chunk, with_windows
 from pulsegrid.plans import advisor, session
 from pulsegrid.sources.recordings import align
-from pulsegrid.streaming.processor import stream_kernels
+from pulsegrid.streaming.processor import stream_kernels, stream_outputs
 
 RNG = np.random.default_rng(5)
 
@@ -211,3 +211,42 @@ def test_known_channels_keep_their_kind():
     outputs.check_kind("event", "anything")
     with pytest.raises(ValueError):
         outputs.check_kind("analog", "audio_chime")
+
+
+def test_reseeds_wait_for_fresh_samples_and_end_with_the_host(spark):
+    n = 12
+    d = spark.createDataFrame([(s, i, i // 2, float(i), 1.0) for s in (1, 2, 3) for i in range(n)], "session_id long, sample_idx long, chunk_id long, x double, thr double")
+    host = spark.createDataFrame([(2, 3, "thr", 9.0), (1, 0, "other", 5.0)], "session_id long, chunk_id long, name string, value double")
+    d = session.with_controls(d.drop("thr"), host, {"thr": 1.0})
+    fresh = (F.col("sample_idx") != 1) & ((F.col("session_id") != 3) | (F.col("sample_idx") > 9))
+    out = session.with_reseeds(d, host, "thr", F.col("x"), F.col("chunk_id"), fresh, 50.0, 3, dead=F.col("session_id") == 3).orderBy("session_id", "sample_idx").collect()
+    each = {s: [r.thr for r in out if r.session_id == s] for s in (1, 2, 3)}
+    # 0, 2, 3 are fresh before chunk 2; 5, 6, 7 are the last three of four before chunk 4
+    assert each[1] == [1.0] * 4 + [2.0] * 4 + [6.0] * 4
+    assert each[2] == [1.0] * 4 + [2.0] * 2 + [9.0] * 6
+    assert each[3] == [1.0] * n
+    assert [(r.session_id, r.sample_idx) for r in out if r.hold_reset] == [(1, 4), (1, 8), (2, 4)]
+
+
+def test_live_outputs_are_those_of_the_batch_for_any_split(spark, samples, tmp_path):
+    taps = np.array([0.5, 0.25, -0.25])
+    steps = [
+        K.Fir("x", "y", taps), K.Map(["x"], "loud", lambda x: x > 14.0, "boolean"), K.Gate("loud", "muted", 2),
+        K.Map(["y"], "c", lambda y: y > 0, "boolean"), K.Dwell("c", "d", 2),
+    ]
+    channels = [("analog", "gain", "y"), ("event", "bell", "d_event")]
+    batch = with_windows(samples, 3, lambda w: {"y": windows.fir(F.col("x"), taps, w)}).withColumn("muted", runs.hangover(F.col("x") > 14.0, 2))
+    batch = runs.with_dwell(batch, F.col("y") > 0, 2, "d").filter("sample_idx < 128")  # 130 samples: the last chunk isn't whole
+    from pulsegrid.operators import outputs
+
+    want = outputs.emitted(batch, [("analog", "gain", F.col("y")), ("event", "bell", F.col("d_event"))], F.col("muted"), 8.0)
+    for parts in (2, 5):
+        at = f"{tmp_path}/{parts}"
+        s = samples.drop("chunk_id")
+        s.repartition(parts, "sample_idx").write.parquet(f"{at}/in")
+        stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        q = stream_outputs(stream, steps, channels, 8, 8.0, "muted").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        keys = ["session_id", "timestamp_s", "channel", "kind"]
+        a, b = (x.orderBy(*keys).select(*keys, "value").toPandas() for x in (spark.read.parquet(f"{at}/out"), want))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False)
