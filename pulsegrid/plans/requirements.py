@@ -26,3 +26,10 @@ def channels(samples: DataFrame, needed: list[str], groups: dict[str, list[str]]
     if missing:
         raise RequirementError(f"the recording lacks {', '.join(missing)}")
     return names
+
+
+def coupling(needed: str | None, offered: list[str] | None) -> str | None:
+    """The needed coupling; an amplifier that names what it offers has to have it."""
+    if needed and offered is not None and needed not in offered:
+        raise RequirementError(f"coupling {needed} isn't among {offered}")
+    return needed

@@ -2,6 +2,7 @@
 
 import copy
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pulsegrid.functions import filters as Fl
 from pulsegrid.functions import units as Un
 from pulsegrid.operators import kernels as K
 from pulsegrid.operators.host import feed
-from pulsegrid.sources.recordings import parse_edf
+from pulsegrid.sources.recordings import open_source, parse_edf, parse_xdf
 
 FS = 256.0
 RNG = np.random.default_rng(3)
@@ -223,3 +224,29 @@ def test_gate_keeps_its_hangover_between_batches():
     a = np.array([False, True, False, False, False, False, True, False])
     for size in (None, 1, 3):
         assert run(K.Gate("a", "g", 2), {"a": a}, size)["g"].tolist() == [False, True, True, True, False, False, True, True]
+
+
+def _xdf() -> tuple[bytes, np.ndarray]:
+    chunk = lambda tag, body: b"\x04" + struct.pack("<IH", len(body) + 2, tag) + body
+    info = lambda n, name, kind, form, more="": f"<info><name>{name}</name><type>{kind}</type><channel_count>{n}</channel_count><nominal_srate>250</nominal_srate><channel_format>{form}</channel_format>{more}</info>".encode()
+    x = RNG.normal(size=(5, 2)).astype("<f4")
+    rows = [(b"\x08" + struct.pack("<d", i) if i % 2 == 0 else b"\x00") + r.tobytes() for i, r in enumerate(x)]
+    labels = "<desc><channels><channel><label>Cz</label></channel><channel><label>Pz</label></channel></channels></desc>"
+    return b"XDF:" + b"".join([
+        chunk(1, b"<info><version>1.0</version></info>"), chunk(2, struct.pack("<I", 7) + info(1, "marks", "Markers", "string")),
+        chunk(2, struct.pack("<I", 1) + info(2, "amp", "EEG", "float32", labels)), chunk(3, struct.pack("<I", 1) + b"\x01\x03" + b"".join(rows[:3])),
+        chunk(4, bytes(20)), chunk(3, struct.pack("<I", 1) + b"\x04" + struct.pack("<I", 2) + b"".join(rows[3:])), chunk(6, struct.pack("<I", 1) + b"<info/>"),
+    ]), x
+
+
+def test_xdf(tmp_path, spark):
+    raw, x = _xdf()
+    names, fs, got = parse_xdf(raw)
+    assert (names, fs) == (["Cz", "Pz"], 250.0)
+    np.testing.assert_array_equal(got, x.astype(float))
+    for bad in ("marks", "none"):
+        with pytest.raises(ValueError):
+            parse_xdf(raw, bad)
+    (tmp_path / "a.xdf").write_bytes(raw)
+    rows = open_source(spark, str(tmp_path / "a.xdf")).orderBy("sample_idx").collect()
+    assert [r.channels["Pz"] for r in rows] == x[:, 1].astype(float).tolist()

@@ -131,7 +131,8 @@ def test_requirements(samples):
 
     assert R.sample_rate(200, [128, 256, 512]) == 512 and R.sample_rate(None, None) == 256 and R.sample_rate(100, None) == 100
     assert R.channels(samples, ["all"], {"all": ["x"]}) == ["x"]
-    for bad in (lambda: R.sample_rate(1000, [256]), lambda: R.channels(samples, ["Cz"])):
+    assert R.coupling("DC", ["AC", "DC"]) == "DC" and R.coupling("DC", None) == "DC" and R.coupling(None, []) is None
+    for bad in (lambda: R.sample_rate(1000, [256]), lambda: R.channels(samples, ["Cz"]), lambda: R.coupling("DC", ["AC"])):
         with pytest.raises(R.RequirementError):
             bad()
 
