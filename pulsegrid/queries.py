@@ -552,6 +552,16 @@ def advisor_suggestions(spark, sf):
     return d.select("session_id", "chunk_id", "advice", "suggested", "reversal")
 
 
+@query()
+def advisor_ledger(spark, sf):
+    """Advice that is kept: a host applies suggestions in some chunks, dismisses them in others, sets a value or changes equipment. Tests step it by hand."""
+    at = F.col("session_id") + F.col("chunk_id")
+    counts = _buckets(spark, sf).withColumn("n", F.lit(float(CHUNK)))
+    host_ = counts.select("session_id", "chunk_id", F.when(at % 5 == 2, 1.0).when(at % 7 == 3, 2.0).when(at % 11 == 4, 3.0).alias("act"), F.when(at % 13 == 6, 25.0).alias("manual"))
+    out = advisor.ledger(counts, advisor.Knob(20.0, 2.5, 10.0, 40.0, watch=12, between=16, settle=8), ["emg"], host_)
+    return out.withColumn("told", F.array_join("told", ","))
+
+
 @query(f"""WITH {SIG}, {_DECIDED}, m AS (SELECT *, CASE advice WHEN 'harder' THEN 1 WHEN 'easier' THEN -1 ELSE 0 END AS way FROM a)
 SELECT session_id, chunk_id, advice, CASE way WHEN -1 THEN CASE WHEN calm <= loud THEN 'calm' ELSE 'loud' END WHEN 1 THEN CASE WHEN loud >= calm THEN 'loud' ELSE 'calm' END END AS limiter,
 (20 + 2.5 * way)::DOUBLE AS stepped, CASE way WHEN 1 THEN 110 WHEN -1 THEN 130 ELSE 120 END::DOUBLE AS scaled FROM m""")

@@ -251,3 +251,41 @@ def test_live_outputs_are_those_of_the_batch_for_any_split(spark, samples, tmp_p
         keys = ["session_id", "timestamp_s", "channel", "kind"]
         a, b = (x.orderBy(*keys).select(*keys, "value").toPandas() for x in (spark.read.parquet(f"{at}/out"), want))
         pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_a_ledger_keeps_suggestions_until_they_are_used_or_fall(spark):
+    knob = advisor.Knob(20.0, 2.5, 10.0, 22.5, watch=16, between=16, settle=16)
+    # samples that pass of 8 in each chunk, guard samples, what the host does, what it sets
+    rows = [
+        (8, 0, None, None, "collecting", None, 20.0, []),
+        (8, 0, None, None, "too_easy", 1, 20.0, ["suggested"]),
+        (8, 0, None, None, "too_easy", 1, 20.0, []),
+        (0, 0, 1.0, None, "collecting", None, 22.5, ["applied"]),
+        (0, 0, None, None, "reversal", 2, 22.5, ["suggested"]),  # worse than before: back at once
+        (5, 0, None, None, "too_strict", None, 22.5, None),
+        (5, 8, None, None, "guard", None, 22.5, None),
+        (8, 0, None, 12.5, "collecting", None, 12.5, ["changed_manually"]),
+        (8, 0, 3.0, None, "equipment_settling", None, 12.5, ["equipment_change"]),
+    ]
+    counts = spark.createDataFrame([(1, i, 8.0, 8, 8, r[0], r[1]) for i, r in enumerate(rows)], "session_id long, chunk_id long, n double, n_train long, n_clean long, n_cond long, emg_n long")
+    host = spark.createDataFrame([(1, i, r[2], r[3]) for i, r in enumerate(rows)], "session_id long, chunk_id long, act double, manual double")
+    got = advisor.ledger(counts, knob, ["emg"], host).orderBy("chunk_id").collect()
+    for g, (*_, reason, no, value, told) in zip(got[:5], rows[:5]):
+        assert (g.reason, g.advice_id, g.value, g.told) == (reason, no, value, told)
+    assert got[4].proposed == 20.0
+    assert got[5].advice_id == 2 and got[5].told == []  # 5 of 16: still too low, the same advice stands
+    assert got[6].reason == "guard" and got[6].told == ["blocked"]
+    for g, (*_, reason, no, value, told) in zip(got[7:], rows[7:]):
+        assert (g.reason, g.advice_id, g.value, g.told) == (reason, no, value, told)
+    alone = advisor.ledger(counts, knob, ["emg"]).orderBy("chunk_id").collect()
+    assert [g.told for g in alone[:4]] == [[], ["suggested"], [], ["superseded"]]
+
+
+def test_dismissed_advice_waits_and_limits_hold(spark):
+    knob = advisor.Knob(20.0, 2.5, 10.0, 20.0, watch=8, between=16, settle=8)
+    counts = spark.createDataFrame([(s, i, 8.0, 8, 8, k, 0) for s, k in ((1, 0), (2, 8)) for i in range(5)], "session_id long, chunk_id long, n double, n_train long, n_clean long, n_cond long, emg_n long")
+    host = spark.createDataFrame([(1, 1, 2.0, None)], "session_id long, chunk_id long, act double, manual double")
+    got = advisor.ledger(counts, knob, ["emg"], host).orderBy("session_id", "chunk_id").collect()
+    assert [g.reason for g in got] == ["too_strict", "cooldown", "too_strict", "too_strict", "too_strict"] + ["at_limit"] * 5
+    assert [g.advice_id for g in got[:5]] == [1, None, 2, 2, 2]
+    assert [g.told for g in got[:3]] == [["suggested"], ["dismissed"], ["suggested"]]
