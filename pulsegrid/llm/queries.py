@@ -76,6 +76,25 @@ def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tables.read(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import digest
+
+    return digest(tables.read(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, digest
+
+    rows = tables.read(spark, sf_dir, "conversations")
+    return digest(rows, damage(rows))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(tables.read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
@@ -87,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_lattice_dedup": op10_lattice_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_html_extraction": op13_html_extraction,
 }
