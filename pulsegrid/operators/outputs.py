@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +32,19 @@ def events(samples: DataFrame, channel: str, fires: Column, muted: Column, fs: f
 
 
 def emitted(samples: DataFrame, channels: list[tuple[str, str, Column]], muted: Column, fs: float) -> DataFrame:
-    """Rows of all channels (kind, name, column): one aggregate for the analog ones, one pass for the events."""
-    quiet, parts = F.coalesce(muted, F.lit(False)), []
-    analogs, fires = ([(n, c) for k, n, c in channels if k == kind] for kind in ("analog", "event"))
-    if analogs:
-        means = [F.avg(F.when(quiet, 0.0).otherwise(clip01(c))).alias(f"_a{i}") for i, (_, c) in enumerate(analogs)]
-        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), F.col(f"_a{i}").alias("value")) for i, (n, _) in enumerate(analogs)])).alias("_c")
-        chunks = samples.groupBy(SESSION, CHUNK).agg((F.min(INDEX) / fs).alias("timestamp_s"), *means).select(SESSION, "timestamp_s", rows)
-        parts.append(chunks.select(SESSION, "timestamp_s", "_c.channel", F.lit("value").alias("kind"), "_c.value"))
-    if fires:
-        names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)) & ~quiet, F.lit(n)) for n, c in fires]))
-        fired = samples.select(SESSION, (F.col(INDEX) / fs).alias("timestamp_s"), F.explode(names).alias("channel"))
-        parts.append(fired.select(SESSION, "timestamp_s", "channel", F.lit("event").alias("kind"), F.lit(None).cast("double").alias("value")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Rows of all channels (kind, name, column) from one aggregate: a chunk's means and the samples that fire in it (a chunk's samples at most)."""
+    quiet = F.coalesce(muted, F.lit(False))
+    row = lambda at, name, kind, value: F.struct((at / fs).alias("timestamp_s"), F.lit(name).alias("channel"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+    event_row = lambda name: lambda at: row(at, name, "event", F.lit(None))
+    aggs, rows = [], []
+    for i, (kind, name, c) in enumerate(channels):
+        if kind == "analog":
+            aggs.append(F.avg(F.when(quiet, 0.0).otherwise(clip01(c))).alias(f"_c{i}"))
+            rows.append(F.array(row(F.col("_first"), name, "value", F.col(f"_c{i}"))))
+        else:
+            aggs.append(F.collect_list(F.when(F.coalesce(c, F.lit(False)) & ~quiet, F.col(INDEX))).alias(f"_c{i}"))
+            rows.append(F.transform(f"_c{i}", event_row(name)))
+    return samples.groupBy(SESSION, CHUNK).agg(F.min(INDEX).alias("_first"), *aggs).select(SESSION, F.inline(F.concat(*rows)))
 
 
 def taps(samples: DataFrame, last: dict[str, str], any_: dict[str, str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Advice on difficulty from counts by chunk: buckets, evidence over the last clean time, a decision.
 
-Counts are one partial aggregation; evidence is a bounded frame of buckets that
-is walked back until enough clean time is in it.
+Counts are one partial aggregation; evidence is a difference of running sums over
+chunks, from where enough clean time is in it.
 """
 
 from __future__ import annotations
@@ -35,17 +35,28 @@ def buckets(samples: DataFrame, training: Column, muted: Column, checks: dict[st
     )
 
 
-def evidence(counts: DataFrame, watch: int, horizon: int, names: list[str]) -> DataFrame:
-    """For each chunk the sums over the fewest last chunks (at most ``horizon``) with ``watch`` clean samples; sum columns <name>_w."""
-    w = Window.partitionBy(SESSION).orderBy(CHUNK).rowsBetween(-(horizon - 1), 0)
-    frame = F.reverse(F.collect_list(F.struct(*names)).over(w))
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+class Evidence(Kernel):
+    """Sums of each count over the fewest last chunks (at most ``horizon``) with ``watch`` clean samples, from running sums: a search finds where the watch is full."""
 
-    def add(acc: Column, x: Column) -> Column:
-        full = acc["n_clean"] >= watch
-        return F.struct(*[F.when(full, acc[n]).otherwise(acc[n] + x[n]).alias(n) for n in names])
+    def __init__(self, names: list[str], watch: int, horizon: int):
+        self.inputs, self.outputs = names, {f"{n}_w": "double" for n in names}
+        self.clean, self.watch, self.horizon = names.index("n_clean"), watch, horizon
+        self.held = np.zeros((0, len(names)))
+
+    def step(self, c: Columns) -> Columns:
+        rows = np.concatenate([self.held, np.stack([c[n].astype(float) for n in self.inputs], 1)])
+        old, sums = len(self.held), np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0)])
+        at, clean = np.arange(old, len(rows)), sums[1:, self.clean]
+        # chunk j is needed as long as those after it hold less than the watch
+        first = np.maximum(np.searchsorted(clean, clean[at] - self.watch, "right"), at - self.horizon + 1)
+        self.held = rows[max(0, len(rows) - self.horizon) :]
+        return {f"{n}_w": sums[at + 1, i] - sums[first, i] for i, n in enumerate(self.inputs)}
 
-    return counts.withColumn("_e", F.aggregate(frame, zero, add)).select(SESSION, CHUNK, *names, *[F.col(f"_e.{n}").alias(f"{n}_w") for n in names])
+
+def evidence(counts: DataFrame, watch: int, horizon: int, names: list[str]) -> DataFrame:
+    """For each chunk the sums over the fewest last chunks (at most ``horizon``) with ``watch`` clean samples; sum columns <name>_w."""
+    done = with_kernels(counts.withColumn(INDEX, F.col(CHUNK)), [Evidence(names, watch, horizon)])
+    return done.select(SESSION, CHUNK, *names, *[F.col(f"{n}_w").cast("long").alias(f"{n}_w") for n in names])
 
 
 def decide(evidence_: DataFrame, watch: int, guards: list[str], low: float = LOW, high: float = HIGH, guard_max: float = GUARD_MAX, settle_chunks: int = 0, has_reward: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -65,6 +65,8 @@ class Cursor(Kernel):
     chunk in which its time is up; -1 once the last has ended.
     """
 
+    memory = ("index", "elapsed", "held", "frozen")
+
     def __init__(self, phases: list[Phase]):
         self.inputs, self.outputs = ["n", "advance", "hold", "freeze"], {"at": "double"}
         self.phases, self.index, self.elapsed, self.held, self.frozen = phases, 0, 0, False, False

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .functions import expr as X
 from .functions import filters, montage
-from .operators import host, kernels as K, outputs, runs, windows
+from .operators import host, kernels as K, outputs, runs, trackers, windows
 from .operators.samples import by_session, with_chunk, with_index, with_windows
 from .plans import advisor, session
 from .plans.protocol import Protocol, combined, fan_out
+from .streaming.live import Live, Measure, run_live, state_store
 from .streaming.processor import stream_kernels, stream_outputs
 
 FS, CHUNK = 16.0, 8
@@ -503,9 +504,41 @@ def live_retuning(spark, sf):
 SELECT session_id, round(value, 6) + 0.0 AS value, 70.0::DOUBLE AS target_pct, n_eff FROM t""")
 def tracker_state(spark, sf):
     """What a percentile tracker exports at the end of each session, to seed the next."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("sample_idx"))
-    last = signal(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 32")
-    return last.groupBy("session_id").agg(r6(F.percentile("x", F.lit(0.7))).alias("value"), F.lit(70.0).alias("target_pct"), F.count(F.lit(1)).alias("n_eff"))
+    got = trackers.snapshots(signal(spark, sf), K.Percentile("x", "p", 70.0, 32))
+    return got.select("session_id", r6(F.col("value")).alias("value"), "target_pct", F.col("n_eff").cast("long").alias("n_eff"))
+
+
+_REFILL = "CASE WHEN s.sample_idx % 24 = 0 THEN list_transform(range(len(r.held)), lambda i: r.v) ELSE r.held END"
+
+
+@query(f"""WITH RECURSIVE {SIG}, r AS (SELECT session_id, sample_idx, [x] AS held, x AS v, NULL::DOUBLE AS begun FROM s WHERE sample_idx = 0
+UNION ALL SELECT session_id, sample_idx, held, list_aggregate(held, 'quantile_cont', 0.7) AS v, begun FROM (
+ SELECT s.session_id, s.sample_idx, list_append({_REFILL}, s.x)[-16:] AS held, CASE WHEN s.sample_idx % 24 = 0 THEN r.v ELSE r.begun END AS begun FROM r JOIN s ON s.session_id = r.session_id AND s.sample_idx = r.sample_idx + 1))
+SELECT session_id, sample_idx, round(v, 6) + 0.0 AS p, round(begun, 6) + 0.0 AS p_start FROM r""")
+def carried_tracker(spark, sf):
+    """A client's visits of 24 samples: each visit's threshold starts from what the last one exported."""
+    s = signal(spark, sf).withColumn("visit", F.floor(F.col("sample_idx") / 24))
+    d = host.with_kernels(s, [trackers.Visits(K.Percentile("x", "p", 70.0, 16), "visit")])
+    return d.select(*KEY, r6(F.col("p")).alias("p"), r6(F.col("p_start")).alias("p_start"))
+
+
+# The last 16 samples of each session's first half, then the ranks of its second half among them and what has come since.
+_HALF = "CASE WHEN s.sample_idx = r.half THEN list_transform(range(len(r.held)), lambda i: CASE WHEN len(r.held) = 1 THEN r.lo ELSE r.lo + i * (r.hi - r.lo) / (len(r.held) - 1) END) ELSE r.held END"
+
+
+@query(f"""WITH RECURSIVE {SIG}, n AS (SELECT session_id, count(*) // 2 AS half FROM s GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT session_id, sample_idx, half, [x] AS held, x AS lo, x AS hi, x FROM s JOIN n USING (session_id) WHERE sample_idx = 0
+UNION ALL SELECT session_id, sample_idx, half, held, list_aggregate(held, 'quantile_cont', 0.05) AS lo, list_aggregate(held, 'quantile_cont', 0.95) AS hi, x FROM (
+ SELECT s.session_id, s.sample_idx, r.half, list_append({_HALF}, s.x)[-16:] AS held, s.x FROM r JOIN s ON s.session_id = r.session_id AND s.sample_idx = r.sample_idx + 1))
+SELECT session_id, sample_idx, round(least(greatest((x - lo) / greatest(hi - lo, 1e-9), 0), 1), 6) + 0.0 AS v FROM r WHERE sample_idx >= half""")
+def started_range(spark, sf):
+    """The second half of each session as a session of its own, whose auto range starts from a snapshot table of first halves."""
+    s = signal(spark, sf)
+    half = F.floor(F.count(F.lit(1)).over(Window.partitionBy("session_id")) / 2)
+    s = s.withColumn("half", half)
+    got = trackers.snapshots(s.filter("sample_idx < half"), K.AutoRange("x", "v", 16))
+    later = trackers.with_start(s.filter("sample_idx >= half and half > 0"), got, ("low", "high", "n_eff"))
+    return host.with_kernels(later, [K.AutoRange("x", "v", 16, start=("low", "high", "n_eff"))]).select(*KEY, r6(F.col("v")).alias("v"))
 
 
 # --- advice, fan-out ------------------------------------------------------------------------------
@@ -583,8 +616,11 @@ def site_fan_out(spark, sf):
     return both.select(F.col("session_id").cast("string").alias("session_id"), "sample_idx", F.col("condition").alias("all_sites"))
 
 
-def _streamed(spark: SparkSession, sf: str, live: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``live`` gives for the samples as a stream: they are written as files, processed micro-batch by micro-batch, and the sink is read."""
+def _streamed(spark: SparkSession, sf: str, live: Callable[[DataFrame, DataFrame], DataFrame], commands: DataFrame | None = None, columns: str = "x double") -> DataFrame:
+    """What ``live`` gives for samples and commands as streams: they are written as files, processed micro-batch by micro-batch, and the sink is read.
+
+    Without ``commands``, the only ones are sessions' ends (with the number of their samples).
+    """
     import tempfile
     import uuid
 
@@ -592,9 +628,14 @@ def _streamed(spark: SparkSession, sf: str, live: Callable[[DataFrame], DataFram
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     at = f"{(shared or tempfile.mkdtemp(prefix='pulsegrid-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    signal(spark, sf).select(*KEY, "x").repartition(4, "sample_idx").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema("session_id long, sample_idx long, x double").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-    q = live(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    s = signal(spark, sf)
+    s.select(*KEY, *[c.split()[0] for c in columns.split(",")]).repartition(4, "sample_idx").write.parquet(f"{at}/in")
+    ends = s.groupBy("session_id").agg(F.max("chunk_id").alias("chunk_id"), F.lit("end").alias("name"), F.count(F.lit(1)).cast("double").alias("value"))
+    (ends if commands is None else commands.unionByName(ends)).repartition(3, "chunk_id").write.parquet(f"{at}/commands")
+    read = lambda schema, name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/{name}")
+    out = live(read(f"session_id long, sample_idx long, {columns}", "in"), read("session_id long, chunk_id long, name string, value double", "commands"))
+    with state_store(spark):
+        q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
@@ -602,7 +643,7 @@ def _streamed(spark: SparkSession, sf: str, live: Callable[[DataFrame], DataFram
 @query(_SMOOTH)
 def streaming_smooth(spark, sf):
     """The smoothing kernel under Structured Streaming."""
-    return _streamed(spark, sf, lambda s: stream_kernels(s, [K.Smooth("x", "y", 0.5, FS)])).select(*KEY, r6(F.col("y")).alias("y"))
+    return _streamed(spark, sf, lambda s, _: stream_kernels(s, [K.Smooth("x", "y", 0.5, FS)])).select(*KEY, r6(F.col("y")).alias("y"))
 
 
 def _gain(env, thr):
@@ -610,17 +651,50 @@ def _gain(env, thr):
     return 1.0 / (1.0 + np.exp(-4.0 * (ratio - 1.0)))
 
 
-@query(f"""WITH {SIG}, {_REWARD}, z AS (SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY session_id, chunk_id) = 8)
-SELECT session_id, min(sample_idx) / 16.0::DOUBLE AS timestamp_s, 'audio_gain' AS channel, 'value' AS kind, round(avg(CASE WHEN muted THEN 0 ELSE gain END), 6) + 0.0 AS value FROM z GROUP BY session_id, chunk_id
-UNION ALL SELECT session_id, sample_idx / 16.0::DOUBLE, 'audio_chime', 'event', NULL FROM z WHERE k = 2 AND NOT muted""")
+@query(ORACLE_SQL["reward_outputs"])
 def streaming_outputs(spark, sf):
-    """The protocol of reward_outputs live: one stateful pass from samples to output rows, for whole chunks."""
+    """The protocol of reward_outputs live: one stateful pass from samples to output rows; a session's last, partial chunk runs when it ends."""
     steps = [
         K.Map(["x"], "env", np.abs), K.Percentile("env", "thr", 70.0, 32), K.Map(["x"], "loud", lambda x: x > 150.0, "boolean"), K.Gate("loud", "muted", 3),
         K.Map(["env", "thr"], "above", np.greater, "boolean"), K.Dwell("above", "reward", 2), K.Map(["env", "thr"], "gain", _gain),
     ]
     outs = [("analog", "audio_gain", "gain"), ("event", "audio_chime", "reward_event")]
-    return _streamed(spark, sf, lambda s: stream_outputs(s, steps, outs, CHUNK, FS, "muted")).withColumn("value", r6(F.col("value")))
+    return _streamed(spark, sf, lambda s, ends: stream_outputs(s, steps, outs, CHUNK, FS, "muted", ends)).withColumn("value", r6(F.col("value")))
+
+
+# The walk of host_commands; the seed is measured over the first phase, re-seeds (none here) and the host's values as in seeded_control.
+@query(
+    ORACLE_SQL["host_commands"].split("g AS (SELECT *, coalesce(sample_idx - max")[0]
+    + f"""g AS (SELECT s.*, place, coalesce(sample_idx - max(CASE WHEN x > 90 THEN sample_idx END) OVER (PARTITION BY s.session_id ORDER BY sample_idx ROWS UNBOUNDED PRECEDING) <= 3, false) AS muted, sample_idx = first AND coalesce(stopped, false) AS reset
+ FROM s JOIN r USING (session_id, chunk_id) JOIN c USING (session_id, chunk_id)),
+b AS (SELECT session_id, min(chunk_id) AS start FROM r WHERE place >= 1 GROUP BY ALL),
+q AS (SELECT session_id, quantile_cont(x, 0.75) * 1.2 AS seed, count(*) = 6 AS whole FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample_idx DESC) AS k FROM g WHERE place = 0 AND NOT artifact) WHERE k <= 6 GROUP BY ALL),
+t AS (SELECT session_id, chunk_id, (50 + session_id % 9)::DOUBLE AS value FROM s WHERE (session_id + 3 * chunk_id) % 8 = 1 GROUP BY ALL),
+o AS (SELECT t.session_id, bool_or(chunk_id <= start) AS early FROM t JOIN b USING (session_id) GROUP BY ALL),
+j AS (SELECT g.*, g.chunk_id >= start AND NOT coalesce(early, false) AS run, seed, whole, t.value AS told FROM g ASOF LEFT JOIN t ON g.session_id = t.session_id AND g.chunk_id >= t.chunk_id
+ LEFT JOIN b ON b.session_id = g.session_id LEFT JOIN o ON o.session_id = g.session_id LEFT JOIN q ON q.session_id = g.session_id WHERE place >= 0),
+v AS (SELECT *, CASE WHEN told IS NOT NULL THEN told WHEN run AND whole THEN seed ELSE 70 END AS thr, muted OR place IN (0, 2) OR (run AND NOT coalesce(whole, false)) AS quiet FROM j),
+w AS (SELECT *, x > thr AND NOT muted AND place NOT IN (0, 2) AS ok FROM v),
+d AS (SELECT *, sample_idx - coalesce(max(CASE WHEN NOT ok THEN sample_idx WHEN reset THEN sample_idx - 1 END) OVER {W} ROWS UNBOUNDED PRECEDING), -1) AS k FROM w)
+SELECT session_id, min(sample_idx) / 16.0::DOUBLE AS timestamp_s, 'audio_gain' AS channel, 'value' AS kind, round(avg(CASE WHEN quiet THEN 0 ELSE least(greatest(x / (thr + 37.3), 0), 1) END), 6) + 0.0 AS value FROM d GROUP BY session_id, chunk_id
+UNION ALL SELECT session_id, sample_idx / 16.0::DOUBLE, 'audio_chime', 'event', NULL FROM d WHERE k = 2 AND ok AND NOT quiet"""
+)
+def live_session(spark, sf):
+    """A protocol under a host, live: phases, commands, a seeded threshold that the host may set, a gate, a hold with resets, outputs; samples and commands come in any split."""
+    s = signal(spark, sf)
+    at = F.col("session_id"), F.col("chunk_id")
+    hold, freeze = (at[0] + at[1]) % 5, (at[0] + 2 * at[1]) % 7
+    rows = {"advance": F.when((at[0] + 3 * at[1]) % 11 == 4, 1.0), "hold": F.when(hold == 0, 1.0).when(hold == 1, 0.0), "freeze": F.when(freeze == 2, 1.0).when(freeze == 3, 0.0), "thr": F.when((at[0] + 3 * at[1]) % 8 == 1, 50.0 + at[0] % 9)}
+    given = [F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in rows.items()]
+    count = sum((F.when(v.isNotNull(), 1.0).otherwise(0.0) for v in rows.values()), F.lit(0.0))
+    told = s.select(*at).distinct().select(*at, F.inline(F.array(*given, F.struct(F.lit("tick").alias("name"), count.alias("value"))))).filter("value is not null")
+    steps = [
+        K.Map(["x"], "loud", lambda x: x > 90.0, "boolean"), K.Gate("loud", "muted", 3), K.Map(["artifact"], "clean", np.logical_not, "boolean"),
+        K.Map(["x", "thr", "muted", "phase_muted"], "ok", lambda x, t, m, p: (x > t) & ~m & ~p, "boolean"), K.Dwell("ok", "h", 2, reset="hold_reset"), K.Map(["x", "thr"], "gain", lambda x, t: x / (t + 37.3)),
+    ]
+    live = Live(FS, CHUNK, steps, [("analog", "audio_gain", "gain"), ("event", "audio_chime", "h_event")], "muted", FLOORED, {"thr": 70.0}, [Measure("thr", "x", 75.0, 6, 1.2, fresh="clean")], ticks=True)
+    out = _streamed(spark, sf, lambda rows_, commands: run_live(rows_, live, commands), told, "x double, artifact boolean")
+    return out.withColumn("value", r6(F.col("value")))
 
 
 def entry(spark: SparkSession) -> DataFrame:

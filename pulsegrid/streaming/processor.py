@@ -1,83 +1,22 @@
-"""The batch kernels under Structured Streaming: state by session, the same results for any split into micro-batches.
-
-Rows that come twice are dropped, rows that come early wait in the state, and a
-session's kernels go on where the last micro-batch left them.
-"""
+"""The batch kernels under Structured Streaming: state by session, the same results for any split into micro-batches. See live.py."""
 
 from __future__ import annotations
 
-import copy
-import pickle
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.host import feed, output_schema
 from ..operators.kernels import Kernel
-from ..operators.outputs import check_kind
-from ..operators.samples import CHUNK, INDEX, SESSION
-
-
-def _advance(samples: DataFrame, kernels: list[Kernel], chunk: int | None, schema: T.StructType, emit: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """emit() of each run of rows that the kernels have taken, in order; whole chunks only if ``chunk`` is given."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            live, at, waiting = pickle.loads(state.get[0])
-        else:
-            live, at, waiting = copy.deepcopy(kernels), 0, None
-        rows = pd.concat([*([waiting] if waiting is not None else []), *batches], ignore_index=True)
-        rows = rows[rows[INDEX] >= at].drop_duplicates(INDEX).sort_values(INDEX, ignore_index=True)
-        ready = (rows[INDEX].to_numpy() == at + pd.RangeIndex(len(rows)).to_numpy()).cumprod().sum() if len(rows) else 0
-        end = at + int(ready)
-        if chunk:
-            end -= end % chunk
-        now, waiting = rows[rows[INDEX] < end], rows[rows[INDEX] >= end]
-        if len(now):
-            groups = [g for _, g in now.groupby(now[INDEX] // chunk)] if chunk else [now]
-            for g in groups:
-                yield emit(feed(live, g))
-        state.update((cloudpickle.dumps((live, max(at, end), waiting)),))
-
-    return samples.groupBy(SESSION).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+from .live import Live, run_live
 
 
 def stream_kernels(samples: DataFrame, kernels: list[Kernel], chunk: int | None = None) -> DataFrame:
     """samples: a streaming frame with session_id and sample_idx. With ``chunk``, kernels get whole chunks of that many samples."""
-    schema = output_schema(samples, kernels)
-    names = schema.fieldNames()
-    return _advance(samples, kernels, chunk, schema, lambda g: g[names])
+    return run_live(samples, Live(1.0, chunk or 1, kernels, whole=chunk is not None))
 
 
-def stream_outputs(samples: DataFrame, kernels: list[Kernel], channels: list[tuple[str, str, str]], chunk: int, fs: float, muted: str | None = None) -> DataFrame:
+def stream_outputs(samples: DataFrame, kernels: list[Kernel], channels: list[tuple[str, str, str]], chunk: int, fs: float, muted: str | None = None, ends: DataFrame | None = None) -> DataFrame:
     """A live protocol: rows of its outputs, as outputs.emitted gives them, from one stateful pass of kernels (Map, Fir, Gate, Dwell and the rest).
 
-    channels: (analog or event, channel, column of a kernel). A chunk's rows come once it is whole, so a last partial chunk gives none.
+    channels: (analog or event, channel, column of a kernel). ends: commands (session_id, chunk_id, name, value) that end sessions, whose last
+    partial chunk then runs too.
     """
-    for kind, name, _ in channels:
-        check_kind(kind, name)
-    kind = samples.schema[SESSION].dataType
-    schema = T.StructType([T.StructField(SESSION, kind), *T.StructType.fromDDL("timestamp_s double, channel string, kind string, value double")])
-
-    def emit(g: pd.DataFrame) -> pd.DataFrame:
-        quiet = g[muted].to_numpy(bool) if muted else np.zeros(len(g), bool)
-        rows = []
-        for how, name, column in channels:
-            if how == "analog":
-                mean = np.where(quiet, 0.0, np.clip(g[column].to_numpy(float), 0.0, 1.0)).mean()
-                rows.append((g[INDEX].iloc[0] / fs, name, "value", mean))
-            else:
-                rows += [(i / fs, name, "event", None) for i in g[INDEX][g[column].to_numpy(bool) & ~quiet]]
-        out = pd.DataFrame(rows, columns=["timestamp_s", "channel", "kind", "value"])
-        out.insert(0, SESSION, g[SESSION].iloc[0])
-        return out
-
-    return _advance(samples, kernels, chunk, schema, emit)
-
-
-__all__ = ["CHUNK", "stream_kernels", "stream_outputs"]
+    return run_live(samples, Live(fs, chunk, kernels, channels, muted), ends)
