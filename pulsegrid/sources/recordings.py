@@ -11,17 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranged
+
 
 def open_source(spark: SparkSession, path: str) -> DataFrame:
-    """A reader by extension: .edf, .xdf, .parquet; .fif needs a package that isn't required here."""
+    """A reader by extension: .edf, .xdf, .fif, .parquet. EDF and XDF come whole, a task a file; ranged.read_recording reads parts of EDF and FIF files."""
     end = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if end == "edf":
         return read_edf(spark, path)
     if end == "xdf":
         return read_xdf(spark, path)
+    if end == "fif":
+        return ranged.read_recording(spark, path)
     if end == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"no reader for .{end}; convert it to EDF or Parquet")
+    raise ValueError(f"no reader for .{end}; convert it to EDF, FIF or Parquet")
 
 
 def parse_edf(raw: bytes) -> tuple[list[str], float, np.ndarray]:
