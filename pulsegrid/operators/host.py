@@ -60,8 +60,8 @@ def _edges(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def with_kernels(samples: DataFrame, kernels: list[Kernel]) -> DataFrame:
-    """samples needs session_id and sample_idx, and chunk_id if a kernel's values belong to chunks: chunks are then fed whole.
+def with_kernels(samples: DataFrame, kernels: list[Kernel], by: tuple[str, ...] = (SESSION,)) -> DataFrame:
+    """``by``: the columns whose values make a session (segments.py runs pieces of sessions). samples needs session_id and sample_idx, and chunk_id if a kernel's values belong to chunks: chunks are then fed whole.
 
     All other kernels get as much of a session as a batch holds. Rows with a null session are one session.
     """
@@ -83,17 +83,17 @@ def with_kernels(samples: DataFrame, kernels: list[Kernel]) -> DataFrame:
             if batch is None or not batch.num_rows:
                 continue
             if chunked and not end:  # the last chunk may go on in the next batch
-                cut = int(_edges(batch, [SESSION, CHUNK])[-1])
+                cut = int(_edges(batch, [*by, CHUNK])[-1])
                 batch, rest = batch.slice(0, cut), batch.slice(cut)
                 if not cut:
                     continue
-            starts = _edges(batch, [SESSION])
+            starts = _edges(batch, list(by))
             ends = [*starts[1:].tolist(), batch.num_rows]
-            marks = np.append(_edges(batch, [SESSION, CHUNK]), batch.num_rows) if chunked else None
+            marks = np.append(_edges(batch, [*by, CHUNK]), batch.num_rows) if chunked else None
             columns = {c: as_numpy(batch.column(c)) for c in inputs if c in batch.schema.names}
             out = {n: np.zeros(batch.num_rows, bool if k == pa.bool_() else float) for n, k in zip(made, kinds)}
             for a, b in zip(starts.tolist(), ends):
-                key = batch.column(SESSION)[a].as_py()
+                key = [batch.column(c)[a].as_py() for c in by]
                 if live is None or key != session:
                     session, live = key, [k.anew() for k in kernels]
                 bounds = None if marks is None else marks[np.searchsorted(marks, a) : np.searchsorted(marks, b) + 1] - a
@@ -102,4 +102,4 @@ def with_kernels(samples: DataFrame, kernels: list[Kernel]) -> DataFrame:
             arrays = [pa.array(out[n], k, from_pandas=k != pa.bool_()) for n, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *arrays], [*kept, *made])
 
-    return samples.repartition(SESSION).sortWithinPartitions(SESSION, INDEX).mapInArrow(run, schema)
+    return samples.repartition(*by).sortWithinPartitions(*by, INDEX).mapInArrow(run, schema)

@@ -106,6 +106,19 @@ class Smooth(Kernel):
         self.table = np.where(k[:, None] >= k, alpha * (1.0 - alpha) ** np.maximum(k[:, None] - k, 0), 0.0)
         self.decay = (1.0 - alpha) ** (k + 1)
 
+    def state(self) -> np.ndarray:
+        return np.array([0.0 if self.y is None else self.y])
+
+    def set_state(self, state: np.ndarray) -> None:
+        self.y = float(state[0])
+
+    def warm(self, x0: float) -> np.ndarray:
+        return np.array([x0])
+
+    def carry(self, n: int) -> np.ndarray:
+        """What n samples do to a state: the matrix of an affine map."""
+        return np.array([[(1.0 - filters.smoothing_factor(self.tau, self.fs)) ** n]])
+
     def _run(self, x: np.ndarray) -> np.ndarray:
         y = np.empty(len(x))
         for i in range(0, len(x), self.BLOCK):
@@ -143,6 +156,25 @@ class Bandpass(Kernel):
         self.z: np.ndarray | None = None
         self.blocks = tuple(self._block(*row) for row in np.asarray(self.sos)[:, [0, 1, 2, 4, 5]].tolist())
 
+    def state(self) -> np.ndarray:
+        return (np.zeros((len(self.blocks), 2)) if self.z is None else self.z).reshape(-1)
+
+    def set_state(self, state: np.ndarray) -> None:
+        self.z = np.array(state, float).reshape(-1, 2)
+
+    def warm(self, x0: float) -> np.ndarray:
+        return (filters.warm_state(self.sos) * x0).reshape(-1)
+
+    def carry(self, n: int) -> np.ndarray:
+        """What n samples do to a state: the matrix of an affine map; its columns are what a sample of 0 makes of unit states."""
+        size = 2 * len(self.blocks)
+        one, k = np.empty((size, size)), self.anew()
+        for i in range(size):
+            k.set_state(np.eye(size)[i])
+            k.step({self.inputs[0]: np.zeros(1)})
+            one[:, i] = k.state()
+        return np.linalg.matrix_power(one, n)
+
     def _block(self, b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For n samples x and a state z: y = G x + H z (rows up to n), and the state after them (powers[n], gain columns)."""
         n, move, push = self.BLOCK, np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
@@ -302,6 +334,8 @@ class Fir(Kernel):
     """Sum of taps[j] * x[i - j], zeros before the start: windows.fir with its memory kept; complex taps give the magnitude."""
 
     memory = ("past",)
+    #: From so many taps on, blocks are convolved by FFT (overlap-save).
+    LONG = 64
 
     def __init__(self, x: str, out: str, taps: np.ndarray):
         self.inputs, self.outputs, self.taps = [x], {out: "double"}, np.asarray(taps)
@@ -310,10 +344,24 @@ class Fir(Kernel):
     def step(self, c: Columns) -> Columns:
         x = np.concatenate([self.past, c[self.inputs[0]].astype(float)])
         self.past = x[len(x) - len(self.past) :]
-        y = np.convolve(x, self.taps, "valid") if len(x) >= len(self.taps) else np.empty(0)
+        y = np.empty(0) if len(x) < len(self.taps) else np.convolve(x, self.taps, "valid") if len(self.taps) < self.LONG or not np.isfinite(x).all() else self._overlap_save(x)
         return {next(iter(self.outputs)): np.abs(y) if np.iscomplexobj(y) else y}
 
 
+    def _overlap_save(self, x: np.ndarray) -> np.ndarray:
+        """Blocks of twice to four times the taps, each of which gives what its first taps - 1 samples don't spoil."""
+        n = len(self.taps)
+        size = 1 << (2 * n - 1).bit_length()
+        good = size - n + 1
+        blocks = -(-(len(x) - n + 1) // good)
+        padded = np.concatenate([x, np.zeros(blocks * good + n - 1 - len(x))])
+        parts = np.lib.stride_tricks.sliding_window_view(padded, size)[::good][:blocks]
+        real = not np.iscomplexobj(self.taps)
+        there, back = (np.fft.rfft, np.fft.irfft) if real else (np.fft.fft, np.fft.ifft)
+        y = back(there(parts, size) * there(self.taps, size), size)[:, n - 1 :]
+        return y.reshape(-1)[: len(x) - n + 1]
+
+
 class Gate(Kernel):
     """Active, or at most ``release`` samples after the last active one: runs.hangover with its memory kept."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr as X
 from .functions import filters, montage
-from .operators import host, kernels as K, outputs, runs, trackers, windows
+from .operators import host, kernels as K, outputs, runs, segments, trackers, windows
 from .operators.samples import by_session, with_chunk, with_index, with_windows
 from .plans import advisor, session
 from .plans.protocol import Protocol, combined, fan_out
@@ -253,6 +253,32 @@ def coherence(spark, sf):
     return host.with_kernels(two, [K.Coherence("x", "b", "c", 2.0, 6.0, 32, FS)]).select(*KEY, F.round("c", 5).alias("c"))
 
 
+@query(ORACLE_SQL["smooth"])
+def segmented_smooth(spark, sf):
+    """The recursion of smooth on segments of 16 samples, whose affine maps are composed."""
+    return segments.with_scan(signal(spark, sf), K.Smooth("x", "y", 0.5, FS), 16).select(*KEY, r6(F.col("y")).alias("y"))
+
+
+@query(ORACLE_SQL["bandpass"])
+def segmented_bandpass(spark, sf):
+    return segments.with_scan(signal(spark, sf), K.Bandpass("x", "y", 2.0, 4.0, FS, order=1), 16).select(*KEY, r6(F.col("y")).alias("y"))
+
+
+@query(ORACLE_SQL["rolling_percentile_long"])
+def segmented_percentile(spark, sf):
+    """Windows of 48 samples on segments of 64, each with the rows that its windows look back to."""
+    return segments.with_memory(signal(spark, sf), 47, [K.Percentile("x", "p", 70.0, 48)], 64).select(*KEY, r6(F.col("p")).alias("p"))
+
+
+_LONG = np.hanning(130)[1:-1] / np.hanning(130).sum()
+
+
+@query(f"WITH {SIG} SELECT session_id, sample_idx, round({_fir_sql(_LONG)}, 6) + 0.0 AS y FROM s")
+def long_fir(spark, sf):
+    """128 taps by overlap-save on segments: one column in the plan, however many taps."""
+    return segments.with_memory(signal(spark, sf), 127, [K.Fir("x", "y", _LONG)], 256).select(*KEY, r6(F.col("y")).alias("y"))
+
+
 _TWO = {"slow": (1.5, 3.0), "fast": filters.band_edges(4.0, 2.0)}
 
 
