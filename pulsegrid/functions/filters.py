@@ -82,8 +82,12 @@ def warm_state(sos: np.ndarray) -> np.ndarray:
     return out
 
 
-def hilbert_taps(n: int = 65) -> np.ndarray:
-    """Odd number of taps of the quadrature part; the in-phase part is the input len // 2 samples ago."""
+def hilbert_taps(n: int = 65, kind: str = "fir") -> np.ndarray:
+    """Odd number of taps of the quadrature part; the in-phase part is the input len // 2 samples ago. Of other kinds than fir, iir_allpass is refused on purpose."""
+    if kind == "iir_allpass":
+        raise NotImplementedError("a pair of all-pass filters is no quadrature near 0 Hz, where slow bands lie; take kind='fir', or rectify and smooth at low rates")
+    if kind != "fir":
+        raise ValueError(f"no Hilbert transform of kind {kind}")
     n += n % 2 == 0
     c = n // 2
     k = np.arange(n) - c

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.custom import FUNCTIONS as CUSTOM_FUNCTIONS
+from ..functions.custom import KERNELS as CUSTOM_KERNELS
 from ..functions.expr import gt
 from ..operators import outputs, runs
 from ..operators.host import with_kernels
@@ -43,6 +45,14 @@ class Protocol:
         self.steps.append(("kernel", kernel))
         return self
 
+    def custom(self, name: str, out: str, *inputs: str, **parameters: object) -> "Protocol":
+        """A registered function (functions.custom) of the input columns, or a registered kernel, made with (inputs..., out, parameters)."""
+        if name in CUSTOM_FUNCTIONS:
+            return self.stream(out, CUSTOM_FUNCTIONS[name](*[F.col(i) for i in inputs]))
+        if name not in CUSTOM_KERNELS:
+            raise KeyError(f"no custom function or kernel named {name}; there are {sorted([*CUSTOM_FUNCTIONS, *CUSTOM_KERNELS])}")
+        return self.kernel(CUSTOM_KERNELS[name](*inputs, out, **parameters))
+
     def inhibit(self, name: str, metric: str, threshold: Column, action: str = "mute", release_ms: float | None = None, artifact: bool = False, where: Column | None = None) -> "Protocol":
         """<name>_active: metric above threshold; mute and freeze gate with a hangover (<name>_gated), flag only tells.
 

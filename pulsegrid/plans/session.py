@@ -177,14 +177,8 @@ class Refill(Kernel):
         return {next(iter(self.outputs)): np.array(full, bool)}
 
 
-def with_reseeds(samples: DataFrame, timeline: DataFrame, name: str, x: Column, block: Column, fresh: Column, pct: float, n: int, scale: float = 1.0, low: float | None = None, high: float | None = None, dead: Column | None = None) -> DataFrame:
-    """The control ``name`` (a column, from with_controls or with_seed) measured anew where a block starts, and hold_reset at the samples where that wrote a value.
-
-    The value is the percentile of the last n fresh finite samples times scale (then clamped). A block that finds fewer than n since
-    the last write keeps the old value, and what is there counts for the next. Blocks are numbers that grow by chunks. A host's write
-    (``timeline``, as in with_controls) ends it for the session, at its own chunk already; so does ``dead`` (a failed seed) at a
-    block's first sample. A fresh sample belongs to one write at most, so all windows are one partitioning, not a range join.
-    """
+def reseed_writes(samples: DataFrame, x: Column, block: Column, fresh: Column, pct: float, n: int, scale: float = 1.0, low: float | None = None, high: float | None = None, dead: Column | None = None) -> DataFrame:
+    """The values that with_reseeds() writes: session_id, _b (block), _v (value), _c and _i (the block's first chunk and sample), _n (fresh samples since the write before)."""
     ok = F.coalesce(fresh, F.lit(False)) & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = samples.select(SESSION, INDEX, CHUNK, block.cast("long").alias("_b"), ok.alias("_ok"), x.alias("_x"), F.coalesce(F.lit(False) if dead is None else dead, F.lit(False)).alias("_dead"))
     blocks = rows.groupBy(SESSION, "_b").agg(F.count_if("_ok").cast("double").alias("_n"), F.min(CHUNK).alias("_c"), F.min(INDEX).cast("double").alias("_i"), F.min_by("_dead", INDEX).alias("_d"))
@@ -196,7 +190,55 @@ def with_reseeds(samples: DataFrame, timeline: DataFrame, name: str, x: Column,
     value = F.percentile("_x", F.lit(pct / 100.0)) * scale
     if scale != 1.0 and low is not None and high is not None:
         value = F.least(F.greatest(value, F.lit(low)), F.lit(high))
-    made = last.groupBy(SESSION, F.col("_to").alias("_b")).agg(value.alias("_v")).join(filled.filter(~F.col("_d")).select(SESSION, "_b", "_c", "_i"), [SESSION, "_b"])
+    since = asks.join(filled.select(SESSION, "_b", F.col("_n").alias("_fresh")), [SESSION, "_b"]).groupBy(SESSION, F.col("_to").alias("_b")).agg(F.sum("_fresh").cast("long").alias("_n"))
+    made = last.groupBy(SESSION, F.col("_to").alias("_b")).agg(value.alias("_v")).join(since, [SESSION, "_b"]).join(filled.filter(~F.col("_d")).select(SESSION, "_b", "_c", "_i"), [SESSION, "_b"])
+    return made
+
+
+def seed_report(samples: DataFrame, control: str, source: str, got: DataFrame, timeline: DataFrame, start: int, pct: float, n: int, scale: float, fs: float, writes: DataFrame | None = None) -> DataFrame:
+    """What became of a control's seed, a row a session: status, value, at_time_s, what it was measured on, and its history in order.
+
+    got: seeds(); timeline: the host's values; start: the chunk at which seeds are written; writes: reseed_writes(), if it is measured anew.
+    status: pending (the session never came to ``start``), disarmed (the host had set it by then), failed (fewer than n samples), fired. A
+    record of the history has at_time_s, old_value (the measurement that it replaced), new_value, status, trigger (warmup, block), fresh_samples;
+    a disarmed control has none. A host's later value ends re-seeds.
+    """
+    begun = samples.groupBy(SESSION).agg(F.min(F.when(F.col(CHUNK) >= start, F.col(INDEX))).alias("_at"))
+    host = timeline.filter(F.col("name") == control).groupBy(SESSION).agg(F.min(CHUNK).alias("_host"))
+    base = begun.join(got, SESSION, "left").join(host, SESSION, "left")
+    fired = F.col("_at").isNotNull() & (F.col("_host").isNull() | (F.col("_host") > start))
+    status = F.when(F.col("_at").isNull(), "pending").when(~fired, "disarmed").when(F.coalesce("seeded", F.lit(False)), "fired").otherwise("failed")
+    base = base.withColumns({"status": status, "_time": F.col("_at") / fs})
+    seed = F.when(F.col("status") == "fired", F.col("seed"))
+    kinds = "struct<at_time_s: double, old_value: double, new_value: double, status: string, trigger: string, fresh_samples: bigint>"
+    record = lambda *v: F.struct(*v).cast(kinds)
+    null = F.lit(None).cast("double")
+    first = F.when(F.col("status").isin("fired", "failed"), F.array(record(F.col("_time"), null, seed, F.col("status"), F.lit("warmup"), F.coalesce("seed_samples", F.lit(0)))))
+    out = base.withColumn("_first", F.coalesce(first, F.array().cast(f"array<{kinds}>")))
+    if writes is not None:
+        later = writes.groupBy(SESSION).agg(F.sort_array(F.collect_list(F.struct((F.col("_i") / fs).alias("t"), F.col("_v").alias("v"), F.col("_n").alias("n"), F.col("_c").alias("c")))).alias("_w"))
+        out = out.join(later, SESSION, "left")
+        mine = F.filter(F.coalesce("_w", F.array().cast("array<struct<t: double, v: double, n: bigint, c: bigint>>")), lambda w: (F.col("status") == "fired") & (w["c"] > start) & (F.col("_host").isNull() | (w["c"] < F.col("_host"))))
+        out = out.withColumn("_w", mine)
+        old = lambda i: F.when(i == 0, seed).otherwise(F.get(F.col("_w"), i - 1)["v"])
+        rows = F.transform("_w", lambda w, i: record(w["t"], old(i), w["v"], F.lit("fired"), F.lit("block"), w["n"]))
+        out = out.withColumn("_first", F.concat("_first", rows))
+    history = F.col("_first")
+    value = F.when(F.size(history) > 0, F.element_at(history, -1)["new_value"])
+    at = F.when(F.size(history) > 0, F.element_at(history, -1)["at_time_s"])
+    facts = {"source": F.lit(source), "target_pct": F.lit(float(pct)), "scale": F.lit(float(scale)), "window_s": F.lit(n / fs)}
+    return out.select(SESSION, F.lit(control).alias("control"), "status", value.alias("value"), at.alias("at_time_s"), F.coalesce("seed_samples", F.lit(0)).cast("long").alias("n_samples"), *[v.alias(k) for k, v in facts.items()], history.alias("history"))
+
+
+def with_reseeds(samples: DataFrame, timeline: DataFrame, name: str, x: Column, block: Column, fresh: Column, pct: float, n: int, scale: float = 1.0, low: float | None = None, high: float | None = None, dead: Column | None = None) -> DataFrame:
+    """The control ``name`` (a column, from with_controls or with_seed) measured anew where a block starts, and hold_reset at the samples where that wrote a value.
+
+    The value is the percentile of the last n fresh finite samples times scale (then clamped). A block that finds fewer than n since
+    the last write keeps the old value, and what is there counts for the next. Blocks are numbers that grow by chunks. A host's write
+    (``timeline``, as in with_controls) ends it for the session, at its own chunk already; so does ``dead`` (a failed seed) at a
+    block's first sample. A fresh sample belongs to one write at most, so all windows are one partitioning, not a range join.
+    """
+    made = reseed_writes(samples, x, block, fresh, pct, n, scale, low, high, dead)
     marks = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in ("_v", "_i")])
     set_ = with_controls(samples, made.select(SESSION, F.col("_c").alias(CHUNK), F.inline(marks)), {"_v": float("nan"), "_i": -1.0})
     host = timeline.filter(F.col("name") == name).groupBy(SESSION).agg(F.min(CHUNK).alias("_host"))

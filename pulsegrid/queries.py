@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import custom, filters, montage
 from .functions import expr as X
-from .functions import filters, montage
 from .operators import host, kernels as K, outputs, runs, segments, trackers, windows
 from .operators.samples import by_session, with_chunk, with_index, with_windows
-from .plans import advisor, session
+from .plans import adviser, advisor, session
 from .plans.protocol import Protocol, combined, fan_out
 from .streaming.live import Live, Measure, run_live, state_store
 from .streaming.processor import stream_kernels, stream_outputs
@@ -378,6 +378,22 @@ def reward_conditions(spark, sf):
     return p.apply(signal(spark, sf)).select(*KEY, "reward_condition_0", "reward_condition_1", "d_event")
 
 
+class PeakHold(K.Kernel):
+    """The largest sample so far, which decays; an example of a custom kernel."""
+
+    memory = ("peak",)
+
+    def __init__(self, x: str, out: str, decay: float):
+        self.inputs, self.outputs, self.decay, self.peak = [x], {out: "double"}, decay, None
+
+    def step(self, c):
+        out = []
+        for v in c[self.inputs[0]].tolist():
+            self.peak = v if self.peak is None else max(v, self.peak * self.decay)
+            out.append(self.peak)
+        return {next(iter(self.outputs)): np.array(out)}
+
+
 def reward_protocol() -> Protocol:
     """Rectify, rolling percentile, dwell above it, sigmoid of the ratio; muted by a loud inhibit."""
     p = Protocol(FS, CHUNK).stream("env", X.rectify(F.col("x")))
@@ -514,6 +530,27 @@ def reseeded_control(spark, sf):
     return out.select(*KEY, r6(F.col("thr")).alias("thr"), "hold_reset")
 
 
+@query(f"""WITH RECURSIVE {SIG}, {_SEED}, t AS (SELECT session_id, min(chunk_id) AS host FROM s WHERE (session_id + 3 * chunk_id) % 16 = 1 GROUP BY ALL), a AS (SELECT session_id, min(sample_idx) FILTER (chunk_id >= 2) AS began FROM s GROUP BY ALL),
+b AS (SELECT a.session_id, began, host, seed, whole, CASE WHEN began IS NULL THEN 'pending' WHEN host <= 2 THEN 'disarmed' WHEN whole THEN 'fired' ELSE 'failed' END AS status FROM a LEFT JOIN q USING (session_id) LEFT JOIN t USING (session_id)),
+k AS (SELECT *, chunk_id // 2 AS b, count(*) FILTER (NOT artifact) OVER {W} ROWS UNBOUNDED PRECEDING) AS c FROM s), e AS (SELECT session_id, b, max(c) AS upto FROM k GROUP BY ALL),
+r AS (SELECT session_id, b, upto, 0::BIGINT AS used, false AS wrote FROM e WHERE b = 0
+UNION ALL SELECT e.session_id, e.b, e.upto, CASE WHEN r.upto - r.used >= 20 THEN r.upto ELSE r.used END, r.upto - r.used >= 20 FROM r JOIN e ON e.session_id = r.session_id AND e.b = r.b + 1),
+w AS (SELECT r.session_id, r.b, quantile_cont(x, 0.75) * 1.2 AS v FROM r JOIN k ON k.session_id = r.session_id AND NOT k.artifact AND k.c <= r.used AND k.c > r.used - 20 WHERE wrote GROUP BY ALL),
+h AS (SELECT session_id, began AS i, CASE WHEN status = 'fired' THEN seed END AS v FROM b WHERE status IN ('fired', 'failed') UNION ALL SELECT w.session_id, 16 * w.b, v FROM w JOIN b USING (session_id) WHERE status = 'fired' AND 2 * w.b > 2 AND (host IS NULL OR 2 * w.b < host)),
+g AS (SELECT session_id, max_by(coalesce(v, -1), i) AS last, max(i) AS began, count(*) AS n, string_agg(coalesce(round(v, 4)::DECIMAL(20, 4)::VARCHAR, 'none'), ',' ORDER BY i) AS said FROM h GROUP BY ALL)
+SELECT session_id, status, round(CASE WHEN last <> -1 THEN last END, 6) + 0.0 AS value, g.began / 16.0::DOUBLE AS at_time_s, coalesce(n, 0) AS records, coalesce(said, '') AS history FROM b LEFT JOIN g USING (session_id)""")
+def seed_reports(spark, sf):
+    """Status, value and history of a control that is seeded after the warm-up and measured anew at blocks."""
+    s = signal(spark, sf)
+    clean, x = ~F.col("artifact"), F.col("x")
+    got = session.seeds(s, x, (F.col("chunk_id") < 2) & clean, 75.0, 12, 1.2)
+    host_ = s.filter((F.col("session_id") + 3 * F.col("chunk_id")) % 16 == 1).select("session_id", "chunk_id", F.lit("thr").alias("name"), F.lit(60.0).alias("value")).distinct()
+    writes = session.reseed_writes(s, x, F.floor(F.col("chunk_id") / 2), clean, 75.0, 20, 1.2)
+    r = session.seed_report(s, "thr", "x", got, host_, 2, 75.0, 12, 1.2, FS, writes)
+    said = F.array_join(F.transform("history", lambda h: F.coalesce(F.round(h["new_value"], 4).cast("decimal(20,4)").cast("string"), F.lit("none"))), ",")
+    return r.select("session_id", "status", r6(F.col("value")).alias("value"), "at_time_s", F.size("history").cast("long").alias("records"), said.alias("history"))
+
+
 _LIVE = lambda y, k, live, last: f"""{y} AS y, CASE WHEN NOT s.x > 40 THEN 0 WHEN {live} <> {last} THEN 1 ELSE {k} + 1 END AS k, {live} AS live"""
 _TAU, _COUNT = "(CASE WHEN s.chunk_id % 3 = 0 THEN 0.5 ELSE 0.125 END)", "(2 + s.chunk_id // 2 % 2)"
 
@@ -621,6 +658,29 @@ def advisor_ledger(spark, sf):
     return out.withColumn("told", F.array_join("told", ","))
 
 
+@query()
+def advisor_knobs(spark, sf):
+    """Two checks with a control each: one moves by steps, one is measured anew; a host applies and dismisses. Tests step it by hand, and against the ledger."""
+    x, at = F.col("x"), F.col("session_id") + F.col("chunk_id")
+    s = signal(spark, sf)
+    host_ = s.select("session_id", "chunk_id").distinct().select("session_id", "chunk_id", F.when(at % 5 == 2, 1.0).when(at % 7 == 3, 2.0).when(at % 11 == 4, 3.0).alias("act"), F.when(at % 13 == 6, 25.0).alias("manual_floor"))
+    policies = {"floor": adviser.Policy("loud", 20.0, 10.0, 40.0, step=2.5), "ceiling": adviser.Policy("calm", 120.0, 40.0, 200.0, "rebaseline", window=12, pct=90.0, harder_is_up=False)}
+    rules = adviser.Rules(watch=12, between=16, settle=8)
+    out = adviser.advise(s, F.col("chunk_id") > 0, F.col("artifact"), {"loud": x > 20, "calm": x < 120}, {"emg": x > 200}, policies, rules, {"ceiling": x}, host_)
+    return out.withColumn("told", F.array_join("told", ",")).withColumn("proposed", r6(F.col("proposed")))
+
+
+@query(f"""WITH RECURSIVE {SIG}, r AS (SELECT session_id, sample_idx, x AS peak, 2 * x AS twice FROM s WHERE sample_idx = 0
+UNION ALL SELECT s.session_id, s.sample_idx, greatest(s.x, r.peak * 0.9), 2 * s.x FROM r JOIN s ON s.session_id = r.session_id AND s.sample_idx = r.sample_idx + 1)
+SELECT session_id, sample_idx, round(twice, 6) + 0.0 AS twice, round(peak, 6) + 0.0 AS peak FROM r""")
+def custom_steps(spark, sf):
+    """A function and a kernel of a user's own, by name: doubling, and a peak that decays."""
+    custom.function("query_twice")(lambda v: v * 2)
+    custom.kernel("query_peak")(PeakHold)
+    p = Protocol(FS, CHUNK).custom("query_twice", "twice", "x").custom("query_peak", "peak", "x", decay=0.9)
+    return p.apply(signal(spark, sf)).select(*KEY, r6(F.col("twice")).alias("twice"), r6(F.col("peak")).alias("peak"))
+
+
 @query(f"""WITH {SIG}, {_DECIDED}, m AS (SELECT *, CASE advice WHEN 'harder' THEN 1 WHEN 'easier' THEN -1 ELSE 0 END AS way FROM a)
 SELECT session_id, chunk_id, advice, CASE way WHEN -1 THEN CASE WHEN calm <= loud THEN 'calm' ELSE 'loud' END WHEN 1 THEN CASE WHEN loud >= calm THEN 'loud' ELSE 'calm' END END AS limiter,
 (20 + 2.5 * way)::DOUBLE AS stepped, CASE way WHEN 1 THEN 110 WHEN -1 THEN 130 ELSE 120 END::DOUBLE AS scaled FROM m""")
