@@ -160,7 +160,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
 
     Each block of the benchmark adds its spans to those of the blocks before it; the text is cut once, after the last one.
     """
-    cols, kinds, marks = docs.columns, docs.schema, "__pg_spans"
+    cols, kinds, (marks,) = docs.columns, docs.schema, tables.unused(docs, "__pg_spans")
     spark = docs.sparkSession
     tables.bounded_batches(spark)
     width, item_id, item_text = options.get("width", WIDTH), options.get("item_id", "item_id"), options.get("item_text", "text")

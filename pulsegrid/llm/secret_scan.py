@@ -107,17 +107,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mask: str = "[SECRET]", **options) -> DataFrame:
     """docs with live-looking spans masked (examples that many owners copy stay); all rows and columns stay, n_chars follows the text."""
+    key_, live_, new_ = tables.unused(docs, "__pg_key", "__pg_live", "__pg_new")
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
     live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    marks = scan(docs, text, doc_id, **options).filter(F.exists("spans", lambda s: s["live"])).select(F.col("row_key").alias("__pg_key"), live.alias("__pg_live")).dropDuplicates(["__pg_key"])
+    marks = scan(docs, text, doc_id, **options).filter(F.exists("spans", lambda s: s["live"])).select(F.col("row_key").alias(key_), live.alias(live_)).dropDuplicates([key_])
     x = F.col(text)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(x, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] <= acc["at"], acc["out"]).when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"))
 
-    masked = F.aggregate("__pg_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(x, acc["at"] + 1, F.length(x))))
-    new = F.when(F.col("__pg_live").isNull(), x).otherwise(masked)
-    out = docs.withColumn("__pg_key", key).join(marks, "__pg_key", "left").withColumn("__pg_new", new)
-    cols = [F.col("__pg_new").alias(c) if c == text else F.when(F.col("__pg_live").isNull(), F.col(c)).otherwise(F.length("__pg_new").cast("long")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    masked = F.aggregate(live_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(x, acc["at"] + 1, F.length(x))))
+    new = F.when(F.col(live_).isNull(), x).otherwise(masked)
+    out = docs.withColumn(key_, key).join(marks, key_, "left").withColumn(new_, new)
+    cols = [F.col(new_).alias(c) if c == text else F.when(F.col(live_).isNull(), F.col(c)).otherwise(F.length(new_).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)

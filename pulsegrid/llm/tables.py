@@ -33,6 +33,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a column name that df hasn't got (names are compared as Spark does, without case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column: one aggregate over the scan, a single number to the driver."""
     return int(df.agg(F.sum(F.octet_length(col))).first()[0] or 0)
