@@ -648,9 +648,38 @@ def advisor_suggestions(spark, sf):
     return d.select("session_id", "chunk_id", "advice", "suggested", "reversal")
 
 
-@query()
+_LEDGER = """x1 AS (SELECT r.* EXCLUDE (chunk_id), c.chunk_id, c.n_train, c.n_clean, c.n_cond, c.emg_n, c.act, coalesce(abs(c.manual - r.value) > 1e-12, false) AS changed, c.manual FROM r JOIN c ON c.session_id = r.session_id AND c.chunk_id = r.chunk_id + 1)"""
+
+# A chunk's row after the host's word: x1 a value set by hand, x2 what was applied or dismissed, x3 evidence, x4 judgement, x5 what stands then.
+_LEDGER_STEP = """SELECT session_id, chunk_id, value, now, settled, buckets, CASE WHEN fresh THEN cnt + 1 WHEN dest IS NULL THEN NULL ELSE sid END AS sid, CASE WHEN dest IS NOT NULL THEN reason END AS sreason, CASE WHEN dest IS NOT NULL THEN way END AS sway, dest AS sto,
+ moved, uway, ubefore, uwrong, qe, qh, cnt + fresh::INT AS cnt, reason, array_to_string(list_filter([CASE WHEN changed THEN 'changed_manually' END, CASE WHEN applied THEN 'applied' END, CASE WHEN dismissed THEN 'dismissed' END, CASE WHEN equip THEN 'equipment_change' END,
+ CASE WHEN t_sup OR (sid IS NOT NULL AND (fresh OR (dest IS NULL AND NOT early))) THEN 'superseded' END, CASE WHEN t_block OR (sid IS NOT NULL AND dest IS NULL AND early) THEN 'blocked' END, CASE WHEN fresh THEN 'suggested' END], lambda t: t IS NOT NULL), ',') AS told FROM (
+SELECT *, reason IN ('not_training_phase', 'equipment_settling', 'guard') AS early, dest IS NOT NULL AND (sid IS NULL OR sreason <> reason OR sway <> way OR sto <> dest) AS fresh FROM (
+SELECT * EXCLUDE (uway), CASE WHEN judged AND NOT back THEN NULL ELSE uway END AS uway, CASE WHEN back THEN true ELSE uwrong0 END AS uwrong,
+ CASE WHEN n_train = 0 THEN 'not_training_phase' WHEN now < settled THEN 'equipment_settling' WHEN guarded THEN 'guard' WHEN cl < 12 THEN 'collecting' WHEN back THEN 'reversal' WHEN inside THEN 'on_track' WHEN step IS NULL THEN 'at_limit' WHEN now < wait THEN 'cooldown' WHEN side = 'easier' THEN 'too_strict' ELSE 'too_easy' END AS reason,
+ CASE WHEN back THEN CASE uway WHEN 'harder' THEN 'easier' ELSE 'harder' END ELSE side END AS way, CASE WHEN NOT judged THEN NULL WHEN back THEN ubefore WHEN inside OR now < wait THEN NULL ELSE step END AS dest FROM (
+SELECT *, judged AND uway IS NOT NULL AND NOT inside AND (uwrong0 OR CASE uway WHEN 'harder' THEN rate < 0.5 ELSE rate > 0.75 END) AS back, greatest(coalesce(moved + 16, -1), coalesce(CASE side WHEN 'easier' THEN qe ELSE qh END, -1)) AS wait,
+ CASE WHEN side = 'harder' AND value < 40 THEN least(value + 2.5, 40) WHEN side = 'easier' AND value > 10 THEN greatest(value - 2.5, 10) END AS step FROM (
+SELECT *, cl >= 12 AND n_train > 0 AND now >= settled AND NOT guarded AS judged, rate BETWEEN 0.5 AND 0.75 AS inside, CASE WHEN rate < 0.5 THEN 'easier' ELSE 'harder' END AS side FROM (
+SELECT *, tr > 0 AND em / tr > 0.15 AS guarded, CASE WHEN cl > 0 THEN co / cl END AS rate FROM (
+SELECT *, coalesce(list_sum(list_transform(used, lambda b: b.tr)), 0) AS tr, coalesce(list_sum(list_transform(used, lambda b: b.cl)), 0) AS cl, coalesce(list_sum(list_transform(used, lambda b: b.co)), 0) AS co, coalesce(list_sum(list_transform(used, lambda b: b.em)), 0) AS em FROM (
+SELECT *, CASE WHEN len(buckets) > 1 AND buckets[-1].cl < 12 THEN CASE WHEN len(buckets) > 2 AND buckets[-1].cl + buckets[-2].cl < 12 THEN buckets[-3:] ELSE buckets[-2:] END ELSE buckets[-1:] END AS used FROM (
+SELECT * EXCLUDE (now, buckets), now + 8 AS now, list_filter(CASE WHEN n_train > 0 AND now >= settled THEN list_append(buckets, {'e': now + 8, 'tr': n_train, 'cl': n_clean, 'co': n_cond, 'em': emg_n}) ELSE buckets END, lambda b: b.e > now - 16) AS buckets FROM (
+SELECT session_id, chunk_id, n_train, n_clean, n_cond, emg_n, now, changed, applied, dismissed, t_sup, equip, equip AND sid IS NOT NULL AND NOT applied AND NOT dismissed AS t_block,
+ CASE WHEN applied THEN sto ELSE value END AS value, CASE WHEN applied THEN now ELSE moved END AS moved, CASE WHEN equip THEN now + 8 ELSE settled END AS settled, CASE WHEN applied OR equip THEN [] ELSE buckets END AS buckets,
+ CASE WHEN applied OR dismissed OR equip THEN NULL ELSE sid END AS sid, sreason, sway, sto, cnt, CASE WHEN dismissed AND sway = 'easier' THEN now + 16 ELSE qe END AS qe, CASE WHEN dismissed AND sway = 'harder' THEN now + 16 ELSE qh END AS qh,
+ CASE WHEN (applied OR dismissed) AND sreason = 'reversal' THEN NULL WHEN applied THEN sway ELSE uway END AS uway, CASE WHEN applied THEN value ELSE ubefore END AS ubefore, CASE WHEN applied THEN false ELSE uwrong END AS uwrong0 FROM (
+SELECT *, coalesce(act = 1, false) AND sid IS NOT NULL AS applied, coalesce(act = 2, false) AND sid IS NOT NULL AS dismissed, coalesce(act = 3, false) AS equip FROM (
+SELECT * EXCLUDE (value, sid, uway, moved, buckets), changed AND sid IS NOT NULL AS t_sup, CASE WHEN changed THEN manual ELSE value END AS value, CASE WHEN NOT changed THEN sid END AS sid, CASE WHEN NOT changed THEN uway END AS uway, CASE WHEN changed THEN now ELSE moved END AS moved, CASE WHEN changed THEN [] ELSE buckets END AS buckets FROM x1)))))))))))"""
+
+
+@query(f"""WITH RECURSIVE {SIG}, {_BUCKET}, c AS (SELECT *, session_id + chunk_id AS place, CASE WHEN (session_id + chunk_id) % 5 = 2 THEN 1 WHEN (session_id + chunk_id) % 7 = 3 THEN 2 WHEN (session_id + chunk_id) % 11 = 4 THEN 3 END AS act, CASE WHEN (session_id + chunk_id) % 13 = 6 THEN 25::DOUBLE END AS manual FROM b),
+r AS (SELECT DISTINCT session_id, -1::BIGINT AS chunk_id, 20::DOUBLE AS value, 0::BIGINT AS now, 0::BIGINT AS settled, []::STRUCT(e BIGINT, tr BIGINT, cl BIGINT, co BIGINT, em BIGINT)[] AS buckets, NULL::BIGINT AS sid, NULL::VARCHAR AS sreason, NULL::VARCHAR AS sway, NULL::DOUBLE AS sto,
+ NULL::BIGINT AS moved, NULL::VARCHAR AS uway, NULL::DOUBLE AS ubefore, false AS uwrong, NULL::BIGINT AS qe, NULL::BIGINT AS qh, 0::BIGINT AS cnt, '' AS reason, '' AS told FROM c
+UNION ALL {_LEDGER_STEP.replace("FROM x1)", "FROM (" + _LEDGER[len("x1 AS (") : -1] + "))")})
+SELECT session_id, chunk_id, reason, sid AS advice_id, value, sto AS proposed, told FROM r WHERE chunk_id >= 0""")
 def advisor_ledger(spark, sf):
-    """Advice that is kept: a host applies suggestions in some chunks, dismisses them in others, sets a value or changes equipment. Tests step it by hand."""
+    """Advice that is kept: a host applies suggestions in some chunks, dismisses them in others, sets a value or changes equipment."""
     at = F.col("session_id") + F.col("chunk_id")
     counts = _buckets(spark, sf).withColumn("n", F.lit(float(CHUNK)))
     host_ = counts.select("session_id", "chunk_id", F.when(at % 5 == 2, 1.0).when(at % 7 == 3, 2.0).when(at % 11 == 4, 3.0).alias("act"), F.when(at % 13 == 6, 25.0).alias("manual"))
