@@ -162,6 +162,19 @@ def rolling_percentile_long(spark, sf):
     return host.with_kernels(signal(spark, sf), [K.Percentile("x", "p", 70.0, 48)]).select(*KEY, r6(F.col("p")).alias("p"))
 
 
+# Two minutes at 256 Hz.
+MINUTES = 30_720
+
+
+@query(f"""WITH sig AS (SELECT user_id % 2 AS session_id, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) - 1 AS sample_idx, value AS x FROM events)
+SELECT session_id, sample_idx, round(quantile_cont(x, 0.7) OVER {W} ROWS {MINUTES - 1} PRECEDING), 6) + 0.0 AS p FROM sig""")
+def percentile_two_minutes(spark, sf):
+    """Windows of 30,720 samples over two long sessions, on segments that carry the rows their windows look back to."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 2).alias("half"), "ts", "event_id", F.col("value").alias("x"))
+    s = with_index(e, "half", ["ts", "event_id"]).select(*KEY, "x")
+    return segments.with_memory(s, MINUTES - 1, [K.Percentile("x", "p", 70.0, MINUTES)], 2 * MINUTES).select(*KEY, r6(F.col("p")).alias("p"))
+
+
 @query(f"""WITH {SIG}, q AS (SELECT *, quantile_cont(x, 0.05) OVER {W} ROWS 31 PRECEDING) AS lo, quantile_cont(x, 0.95) OVER {W} ROWS 31 PRECEDING) AS hi FROM s)
 SELECT session_id, sample_idx, round(least(greatest((x - lo) / greatest(hi - lo, 1e-9), 0), 1), 6) + 0.0 AS v FROM q""")
 def auto_range(spark, sf):
