@@ -54,6 +54,7 @@ WORDS = frozenset(
     "form".split()
 )
 HEADER_WORDS = frozenset(("header", "banner", "top"))
+STORY_WORDS = frozenset(("article", "post", "entry", "story"))
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 NEGATIONS = frozenset(("no", "not", "has", "with", "without", "non"))
 
@@ -74,7 +75,7 @@ def _raw_end(tag: str) -> re.Pattern[str]:
 
 @functools.lru_cache(4096)
 def _traits(attributes: str) -> frozenset[str]:
-    """What attributes tell of an element: of hidden, role, noise, header, comment."""
+    """What attributes tell of an element: of hidden, role, noise, header, comment, story."""
     found = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
@@ -87,7 +88,7 @@ def _traits(attributes: str) -> frozenset[str]:
                 parts = [p.lower() for p in _CAMEL.split(word) if p]
                 if not parts or parts[0] in NEGATIONS:
                     continue
-                found |= {kind for kind, words in (("noise", WORDS), ("header", HEADER_WORDS), ("comment", COMMENT_WORDS)) if words & set(parts)}
+                found |= {kind for kind, words in (("noise", WORDS), ("header", HEADER_WORDS), ("comment", COMMENT_WORDS), ("story", STORY_WORDS)) if words & set(parts)}
     return frozenset(found)
 
 
@@ -116,7 +117,7 @@ def _status(page: Page, tag: str, attributes: str, at: int) -> int:
         return 1
     if tag in ("main", "article") or tag in HEADING:
         return 0
-    return 1 if "noise" in traits or ("header" in traits and not page.story[at]) else 0
+    return 1 if "noise" in traits or ("header" in traits and "story" not in traits and not page.story[at]) else 0
 
 
 def parse(html: str) -> Page:
@@ -175,7 +176,7 @@ def parse(html: str) -> Page:
         tags.append(name)
         page.parent.append(top)
         page.status.append(_status(page, name, m[3], top))
-        page.story.append(page.story[top] or name in ("article", "main"))
+        page.story.append(page.story[top] or name in ("article", "main") or (name in ("div", "section") and bool(m[3]) and "story" in _traits(m[3])))
         if name in BLOCK:
             pieces.append((node, None))
         if name in RAW:

@@ -319,7 +319,7 @@ NOISE = {
     "cookie notice": f"<div class='cookie-consent'><p>We use cookies. {P}</p><button>Accept</button></div>", "advert": f"<div class='ad'>Buy now! {P}</div>", "form": "<form><label>Mail</label><input name=a><p>Join our list of readers today, it is free</p></form>",
     "comments": f"<section id='comments'><h2>Comments</h2><article class='comment'><p>{P} {P} {P}</p></article><article class='comment'><p>{P} {P}</p></article></section>", "hidden": f"<div style='display: none'><p>{P}</p></div>", "role": f"<div role='complementary'><p>{P}</p></div>", "noscript": "<noscript>Enable scripts</noscript>",
 }
-SHELLS = {"article": ("<article>", "</article>"), "div": ("<div class='post'>", "</div>"), "main": ("<main><div>", "</div></main>"), "bare": ("", "")}
+SHELLS = {"class": ("<div class='article'>", "</div>"), "article": ("<article>", "</article>"), "div": ("<div class='post'>", "</div>"), "main": ("<main><div>", "</div></main>"), "bare": ("", "")}
 BODY = f"<h1>Title</h1><p>{P}</p><p>Short.</p><blockquote>{P} &quot;x&quot;</blockquote><p>{P} <a href=q>link</a></p><ul><li>first item of a list</li><li>second item</li></ul>"
 WANT = "\n\n".join(["Title", P, "Short.", P + ' "x"', P + " link", "first item of a list", "second item"])
 
@@ -332,6 +332,14 @@ def test_noise_goes(shell, noise):
         assert H.main_text(f"<html><head><title>T</title></head><body class='has-sidebar'>{before}{a}{BODY}{b}{after}</body></html>") == WANT
 
 
+def test_headers_of_the_article_stay():
+    """A header inside the article, or one that is named after it, holds the title; the site's goes."""
+    site = "<header><p>The Daily Site</p></header><div class='site-header'><p>Since 1900</p></div>"
+    for head in ("<header><h1>Title</h1></header>", "<div class='entry-header'><h1>Title</h1></div>", "<div class='header'><h1>Title</h1></div>"):
+        for a, b in (("<article>", "</article>"), ("<div class='post'>", "</div>")):
+            assert H.main_text(f"<body>{site}{a}{head}<p>{P}</p><p>{P}</p>{b}</body>") == f"Title\n\n{P}\n\n{P}"
+
+
 def test_method_decides():
     """Without marks, the container with the highest sum is found; what is beside it stays if it is as dense as the path."""
     story, links = f"<div><p>{P}</p><p>{P} {P}</p><p>{P}</p></div>", "<div>" + "".join(f"<span><a href={i}>word {i}</a></span>" for i in range(20)) + "</div>"
