@@ -320,6 +320,54 @@ class Percentile(Kernel):
             self.add(value)
 
 
+class Autocorrelation(Kernel):
+    """Of the last n samples about their mean at one lag, in [-1, 1]; 0 with fewer than lag + 2 samples or no variance. Running sums of values, squares and lagged products about a level near the samples."""
+
+    memory = ("held",)
+
+    def __init__(self, x: str, out: str, lag: int, n: int):
+        if n < lag + 2:
+            raise ValueError("the window has to hold lag + 2 samples")
+        self.inputs, self.outputs, self.lag, self.n = [x], {out: "double"}, lag, n
+        self.held = np.empty(0)
+
+    def step(self, c: Columns) -> Columns:
+        x = c[self.inputs[0]].astype(float)
+        y, block = np.empty(len(x)), max(self.n, 256)
+        for i in range(0, len(x), block):
+            a = np.concatenate([self.held, x[i : i + block]])
+            y[i : i + block] = self._block(a, len(self.held))
+            self.held = a[max(0, len(a) - self.n) :]
+        return {next(iter(self.outputs)): y}
+
+    def _block(self, a: np.ndarray, old: int) -> np.ndarray:
+        k, ends = self.lag, np.arange(old, len(a)) + 1
+        starts = np.maximum(ends - self.n, 0)
+        size = ends - starts
+        if not np.isfinite(a).all():
+            return np.array([self._one(a[p:q]) for p, q in zip(starts, ends)])
+        d = a - a.mean()
+        run = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        s, s2, products = run(d), run(d * d), run(np.concatenate([np.zeros(k), d[k:] * d[: len(d) - k]]) if len(d) > k else np.zeros(len(d)))
+        whole = s[ends] - s[starts]
+        mean = whole / size
+        total = s2[ends] - s2[starts] - size * mean * mean
+        inner = np.minimum(starts + k, ends)
+        pairs = products[ends] - products[inner]
+        later, earlier = s[ends] - s[inner], s[np.maximum(ends - k, starts)] - s[starts]
+        top = pairs - mean * (later + earlier) + (size - k) * mean * mean
+        # what rounding leaves of no variance isn't one
+        fine = (size >= k + 2) & (total > 1e-12 * np.maximum(s2[ends] - s2[starts], 1e-300))
+        return np.where(fine, np.clip(top / np.where(fine, total, 1.0), -1.0, 1.0), 0.0)
+
+    def _one(self, w: np.ndarray) -> float:
+        if len(w) < self.lag + 2:
+            return 0.0
+        d = w - w.mean()
+        total = float((d * d).sum())
+        return 0.0 if total <= 0 else float(np.clip((d[self.lag :] * d[: len(d) - self.lag]).sum() / total, -1.0, 1.0))
+
+
 class Map(Kernel):
     """A stateless stream: f(columns as arrays) -> array."""
 

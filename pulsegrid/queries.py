@@ -283,6 +283,13 @@ def segmented_percentile(spark, sf):
     return segments.with_memory(signal(spark, sf), 47, [K.Percentile("x", "p", 70.0, 48)], 64).select(*KEY, r6(F.col("p")).alias("p"))
 
 
+@query(ORACLE_SQL["autocorrelation"])
+def segmented_autocorrelation(spark, sf):
+    """Running sums instead of a list of the window for each sample; on segments."""
+    d = segments.with_memory(signal(spark, sf), 23, [K.Autocorrelation("x", "r", 3, 24)], 64)
+    return d.select(*KEY, (F.round("r", 5) + 0.0).alias("r"))
+
+
 _LONG = np.hanning(130)[1:-1] / np.hanning(130).sum()
 
 

@@ -23,7 +23,7 @@ X_ = RNG.normal(size=400) * 30
 C = {"x": X_, "y": np.roll(X_, 3) + RNG.normal(size=400), "c": X_ > 5, "ok": RNG.random(400) > 0.2, "tau": np.repeat([0.5, 0.1], 200), "n": np.repeat([2.0, 4.0], 200)}
 EACH = [
     K.Smooth("x", "o", 0.3, 16), K.Smooth("x", "o", 0.3, 16, "tau"), K.Bandpass("x", "o", 2, 4, 16), K.MovingMean("x", "o", 20), K.Bandpower("x", "o", 2, 4, 30, 16), K.Percentile("x", "o", 60, 25), K.Percentile("x", "o", 60, 25, "ok"),
-    K.Fir("x", "o", np.array([1, 2, 3j])), K.Gate("c", "o", 3), K.AutoRange("x", "o", 25), K.Dwell("c", "o", 3, 2, "ok"), K.Dwell("c", "o", 2, count_column="n"), K.DwellRearm("c", "o", 2, 3, 1), K.Coherence("x", "y", "o", 2, 6, 40, 16),
+    K.Fir("x", "o", np.array([1, 2, 3j])), K.Gate("c", "o", 3), K.AutoRange("x", "o", 25), K.Dwell("c", "o", 3, 2, "ok"), K.Dwell("c", "o", 2, count_column="n"), K.DwellRearm("c", "o", 2, 3, 1), K.Coherence("x", "y", "o", 2, 6, 40, 16), K.Autocorrelation("x", "o", 3, 30),
 ]
 
 

@@ -9,7 +9,7 @@ from pulsegrid.operators.host import with_kernels
 from pulsegrid.operators.segments import with_memory, with_scan
 
 LINEAR = [K.Smooth("x", "y", 0.7, 64), K.Bandpass("x", "y", 8, 12, 256), K.Bandpass("x", "y", 8, 12, 256, 4, "chebyshev2"), K.Bandpass("x", "y", 1, 3, 128, 4, "bessel")]
-FINITE = [(K.Percentile("x", "y", 65, 200), 199), (K.AutoRange("x", "y", 150), 149), (K.MovingMean("x", "y", 90, True), 89), (K.Fir("x", "y", np.hanning(301)), 300)]
+FINITE = [(K.Percentile("x", "y", 65, 200), 199), (K.AutoRange("x", "y", 150), 149), (K.MovingMean("x", "y", 90, True), 89), (K.Fir("x", "y", np.hanning(301)), 300), (K.Autocorrelation("x", "y", 5, 120), 119)]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,18 @@ def test_overlap_save_is_the_convolution(taps):
     assert np.allclose(got, np.abs(want) if np.iscomplexobj(taps) else want, 1e-9, 1e-9 * np.abs(taps).sum())
 
 
+def test_autocorrelation_is_the_definition():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=700) * 5 + 1e4, np.full(60, 3.0), rng.normal(size=100)])
+    k = K.Autocorrelation("x", "y", 4, 30)
+    got = np.concatenate([k.step({"x": x[a:b]})["y"] for a, b in zip([0, 3, 300, 500], [3, 300, 500, 860])])
+    want = [k._one(x[max(0, i - 29) : i + 1]) for i in range(860)]
+    assert np.allclose(got, want, 1e-6, 1e-6) and got[:5].tolist() == [0.0] * 5 and got[740] == 0.0
+    x[100] = np.nan
+    got = K.Autocorrelation("x", "y", 4, 30).step({"x": x})["y"]
+    assert np.isnan(got[100:130]).all() and np.allclose(got[130:], want[130:], 1e-6, 1e-6)
+
+
 def test_live_time_constants_are_refused(rows):
     with pytest.raises(ValueError, match="affine"):
         with_scan(rows, K.Smooth("x", "y", 0.7, 64, "tau"))
