@@ -7,12 +7,19 @@ All windows of the benchmark are searched backwards through wavelet-tree
 ranks, occurrences are located by sampled suffix positions, and their spans
 are merged for each document.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text
-(by hash of the item), one pass over the documents a block; documents are
-never shuffled. Items without words have no window; a null item id counts as
+The windows of the benchmark are made by the executors, in blocks of about
+``block_bytes`` of text (by hash of the item; an item that is longer is a block
+of its own size), and written below the shared folder. The driver passes one
+block after another on, in compact form. A task goes through the blocks of its
+pass for each shard, so that up to ``PASS_BLOCKS`` blocks cost one pass over the
+documents; a larger benchmark takes more passes, with the spans found so far
+written between them. Documents are never shuffled.
+
+Items without words have no window; a null item id counts as
 the id "null"; equal windows of several items name all of them; documents
 that are null, empty or without words are clean; repeated rows give repeated
-rows; extra columns are ignored.
+rows, null ids stay; extra columns are ignored; a document longer than a shard
+is a shard of its own.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ from .fm_index import FMIndex
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
+#: Blocks of one pass over the documents, all held by each Python worker.
+PASS_BLOCKS = 4
 #: Text bytes of a shard.
 SHARD_BYTES = 16 << 20
 ALNUM = tb.is_word("alnum")
@@ -39,27 +48,74 @@ ALNUM = tb.is_word("alnum")
 
 @dataclass
 class Windows:
-    vocabulary: np.ndarray  # sorted hashes of the benchmark's words
-    patterns: np.ndarray  # symbols, filled up on the left with 0
+    """The distinct windows of a block: symbols[start : start + length] each, with the items item[bounds[k] : bounds[k + 1]]."""
+
+    vocabulary: np.ndarray  # sorted hashes of the block's words
+    symbols: np.ndarray  # of all words of the block, from 1
+    start: np.ndarray
     length: np.ndarray
-    items: list[list[str]]
+    bounds: np.ndarray
+    item: np.ndarray
+    names: list[str]
+
+    def patterns(self) -> np.ndarray:
+        """A row of symbols for each window, filled up on the left with 0."""
+        width = int(self.length.max())
+        at = self.start[:, None].astype(np.int64) + np.arange(width) - (width - self.length[:, None])
+        return np.where(at >= self.start[:, None], self.symbols[np.maximum(at, 0)], 0).astype(np.int64)
+
+    def items(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.bounds[k] : self.bounds[k + 1]]]
 
 
-def windows(items: list[tuple[str, str | None]], width: int) -> Windows:
-    data, offs = tb.buffers(pa.array([t for _, t in items], pa.string()))
+def windows(names: pa.Array, texts: pa.Array, width: int) -> Windows:
+    data, offs = tb.buffers(texts)
     s, _, h = tb.words(data, offs, ALNUM, True)
-    bounds = np.searchsorted(s, offs)
-    vocabulary, symbol = np.unique(h, return_inverse=True)
-    names: dict[tuple[int, ...], set[str]] = {}
-    for (name, _), a, b in zip(items, bounds[:-1], bounds[1:]):
-        w = (symbol[a:b] + 1).tolist()
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            names.setdefault(tuple(w[i : i + width]), set()).add(name)
-    keys = sorted(names)
-    patterns = np.zeros((len(keys), width), np.int64)
-    for i, k in enumerate(keys):
-        patterns[i, width - len(k) :] = k
-    return Windows(vocabulary, patterns, np.array([len(k) for k in keys], np.int64), [sorted(names[k]) for k in keys])
+    ends = np.searchsorted(s, offs)
+    vocabulary, symbols = np.unique(h, return_inverse=True)
+    size = np.diff(ends)
+    n = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), n)
+    start = np.repeat(ends[:-1] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    every = Windows(vocabulary, symbols + 1, start, np.minimum(size[item], width), np.zeros(0), item, names.to_pylist())
+    if not len(start):
+        every.bounds = np.zeros(1, np.int64)
+        return every
+    rows = every.patterns().astype(np.int32)
+    order = np.lexsort(rows.T)
+    new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1))
+    first = order[new]
+    held = np.unique(np.stack([np.cumsum(new) - 1, item[order]]), axis=1)
+    return Windows(vocabulary, every.symbols, start[first], every.length[first], np.searchsorted(held[0], np.arange(len(first) + 1)), held[1], every.names)
+
+
+#: Columns of a block, the arrays as bytes.
+ARRAYS = {"vocabulary": np.uint64, "symbols": np.int32, "start": np.int32, "length": np.int32, "bounds": np.int32, "item": np.int32}
+BLOCK = ", ".join(["block int", *[f"{c} binary" for c in ARRAYS], "names array<string>"])
+
+
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, width: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """A row for each block of windows, written below the shared folder, and the number of blocks."""
+    n = max(1, -(-tables.text_bytes(benchmark, item_text) // block_bytes))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).distinct()
+
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        w = windows(group.column("i"), group.column("t").combine_chunks(), width)
+        arrays = [pa.array([np.ascontiguousarray(getattr(w, c), kind).tobytes()], pa.binary()) for c, kind in ARRAYS.items()]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *arrays, pa.array([w.names], pa.list_(pa.string()))], ["block", *ARRAYS, "names"])
+
+    built = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int").alias("block"), "i", "t").groupBy("block").applyInArrow(build, BLOCK)
+    return tables.checkpoint(built), n
+
+
+def _sent(built: DataFrame, blocks: range) -> list:
+    """Broadcasts of some blocks; the driver holds one block at a time."""
+    out = []
+    for b in blocks:
+        for r in built.filter(F.col("block") == b).collect():
+            out.append(built.sparkSession.sparkContext.broadcast(Windows(*[np.frombuffer(r[c], kind) for c, kind in ARRAYS.items()], list(r["names"]))))
+    return out
 
 
 def search_shard(h: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, list[set[str]]]:
@@ -85,7 +141,7 @@ def search_shard(h: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndar
     x = at[spots] + 1
     x[gap] = 0
     index = FMIndex(x, len(w.vocabulary))
-    lo, hi = index.search(w.patterns)
+    lo, hi = index.search(w.patterns())
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
     rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -95,51 +151,74 @@ def search_shard(h: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndar
     np.add.at(turn, word + w.length[which], -1)
     pairs = np.unique(np.stack([doc[word], which]), axis=1) if len(word) else np.zeros((2, 0), np.int64)
     for d, p in pairs.T.tolist():
-        items[d].update(w.items[p])
+        items[d].update(w.items(p))
     return np.cumsum(turn[:-1]) > 0, items
 
 
+def _runs(hit: np.ndarray) -> np.ndarray:
+    """First word and end of each run."""
+    on = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    return np.stack([np.flatnonzero(on == 1), np.flatnonzero(on == -1)], 1)
+
+
+def _shards(data: np.ndarray, offs: np.ndarray, blocks: list, old: list) -> Iterator[tuple]:
+    """For each shard of a batch: its rows, starts and ends of words in data, the rows' bounds in words, covered words, items of each row."""
+    for i, j, a, _ in tb.slices(offs, 0, SHARD_BYTES):
+        if a != offs[i]:  # the rest of a longer document, which is a shard of its own
+            continue
+        s, e, h = tb.words(data[a : int(offs[j])], offs[i : j + 1] - a, ALNUM, True)
+        bounds = np.searchsorted(s, offs[i : j + 1] - a)
+        hit, items = np.zeros(len(h), bool), [set() for _ in range(j - i)]
+        for w in blocks:
+            more, names = search_shard(h, bounds, w.value)
+            hit |= more
+            for mine, found in zip(items, names):
+                mine |= found
+        for k in range(j - i):
+            for p, q in zip(old[i + k][::2], old[i + k][1::2]):
+                hit[bounds[k] + p : bounds[k] + q] = True
+        yield i, j, s + a, e + a, bounds, hit, items
+
+
 SCHEMA = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
 
 
-def _pass(w) -> object:
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tb.buffers(batch.column("text"))
-            for i, j, a, b in tb.slices(offs, 0, SHARD_BYTES):
-                if a != offs[i] or b != offs[j]:  # a longer document is a shard of its own
-                    if a != offs[i]:
-                        continue
-                    b = int(offs[j])
-                s, _, h = tb.words(data[a:b], offs[i : j + 1] - a, ALNUM, True)
-                bounds = np.searchsorted(s, offs[i : j + 1] - a)
-                hit, items = search_shard(h, bounds, w.value)
-                part = batch.slice(i, j - i)
-                spans, names = [], []
-                for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    g = hit[x:y].copy()
-                    old = part.column("spans")[k].as_py() or []
-                    for p, q in zip(old[::2], old[1::2]):
-                        g[p:q] = True
-                    on = np.diff(np.concatenate(([0], g.astype(np.int8), [0])))
-                    spans.append(np.stack([np.flatnonzero(on == 1), np.flatnonzero(on == -1)], 1).ravel().tolist())
-                    names.append(sorted(items[k] | set(part.column("items")[k].as_py() or [])))
+def _marked(blocks: list):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            data, offs = tb.buffers(x.column("text"))
+            old = [v or [] for v in x.column("spans").to_pylist()]
+            for i, j, _, _, bounds, hit, items in _shards(data, offs, blocks, old):
+                part = x.slice(i, j - i)
+                spans = [_runs(hit[p:q]).ravel().tolist() for p, q in zip(bounds[:-1], bounds[1:])]
+                names = [sorted(new | set(had or [])) for new, had in zip(items, part.column("items").to_pylist())]
                 yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
-    return shards
+    return task
+
+
+def _passes(n: int) -> list[range]:
+    return [range(b, min(n, b + PASS_BLOCKS)) for b in range(0, n, PASS_BLOCKS)]
+
+
+def _between(out: DataFrame, sent: list) -> DataFrame:
+    """The rows after a pass that others follow: written, so that neither the plan nor the broadcasts grow."""
+    out = tables.checkpoint(out)
+    for w in sent:
+        w.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, n_words, spans (first, end, ... in words) and items of every row of docs."""
-    spark = docs.sparkSession
-    tables.bounded_batches(spark)
-    blocks = max(1, -(-tables.text_bytes(benchmark, item_text) // block_bytes))
+    tables.bounded_batches(docs.sparkSession)
+    built, n = blocks_of(benchmark, item_id, item_text, width, block_bytes)
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        w = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in block.collect()], width))  # about block_bytes of text
-        out = out.mapInArrow(tables.released(_pass(w)), SCHEMA)
+    for blocks in _passes(n):
+        sent = _sent(built, blocks)
+        out = out.mapInArrow(tables.released(_marked(sent)), SCHEMA)
+        if blocks[-1] < n - 1:
+            out = _between(out, sent)
     return out
 
 
@@ -158,62 +237,52 @@ def digest(found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs without the words of benchmark windows (from the first to the last of each span); n_chars follows the text, clean rows stay as they are.
 
-    Each block of the benchmark adds its spans to those of the blocks before it; the text is cut once, after the last one.
+    Each pass adds its spans to those of the passes before it; the text is cut once, in the last one.
     """
     cols, kinds, (marks,) = docs.columns, docs.schema, tables.unused(docs, "__pg_spans")
-    spark = docs.sparkSession
-    tables.bounded_batches(spark)
-    width, item_id, item_text = options.get("width", WIDTH), options.get("item_id", "item_id"), options.get("item_text", "text")
-    blocks = max(1, -(-tables.text_bytes(benchmark, item_text) // options.get("block_bytes", BLOCK_BYTES)))
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
+    tables.bounded_batches(docs.sparkSession)
+    built, n = blocks_of(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("width", WIDTH), options.get("block_bytes", BLOCK_BYTES))
     marked = StructType([*kinds.fields, StructField(marks, ArrayType(LongType()))])
-    out = docs
-    for b in range(blocks):
-        w = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], width))
 
-        def cut(batches: Iterator[pa.RecordBatch], w=w, first=b == 0, last=b == blocks - 1) -> Iterator[pa.RecordBatch]:
+    def cut(sent: list, first: bool, last: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                col = x.column(text)
-                data, offs = tb.buffers(col)
-                spans: list[list[int]] = [[] for _ in range(x.num_rows)] if first else [v or [] for v in x.column(marks).to_pylist()]
-                new: dict[int, str] = {}
-                for i, j, a, b in tb.slices(offs, 0, SHARD_BYTES):
-                    if a != offs[i]:
-                        continue
-                    b = int(offs[j])
-                    s, e, h = tb.words(data[a:b], offs[i : j + 1] - a, ALNUM, True)
-                    bounds = np.searchsorted(s, offs[i : j + 1] - a)
-                    hit, _ = search_shard(h, bounds, w.value)
-                    for k in range(j - i):
-                        for f, l in zip(spans[i + k][::2], spans[i + k][1::2]):
-                            hit[bounds[k] + f : bounds[k] + l] = True
+                data, offs = tb.buffers(x.column(text))
+                old = [[]] * x.num_rows if first else [v or [] for v in x.column(marks).to_pylist()]
+                spans, new = list(old), {}
+                for i, j, s, e, bounds, hit, _ in _shards(data, offs, sent, old):
                     for k in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1).tolist():
-                        p, q = bounds[k], bounds[k + 1]
-                        on = np.diff(np.concatenate(([0], hit[p:q].astype(np.int8), [0])))
-                        ends = np.stack([np.flatnonzero(on == 1), np.flatnonzero(on == -1)], 1)
-                        if not last:
-                            spans[i + k] = ends.ravel().tolist()
-                            continue
-                        keep = np.ones(int(offs[i + k + 1] - offs[i + k]), bool)
-                        base = offs[i + k] - a
-                        for f, l in ends:
-                            keep[s[p + f] - base : e[p + l - 1] - base] = False
-                        new[int(i + k)] = data[offs[i + k] : offs[i + k + 1]][keep].tobytes().decode("utf-8")
+                        p, row = bounds[k], i + k
+                        runs = _runs(hit[p : bounds[k + 1]])
+                        spans[row] = runs.ravel().tolist()
+                        keep = np.ones(int(offs[row + 1] - offs[row]), bool)
+                        for f, l in runs:
+                            keep[s[p + f] - offs[row] : e[p + l - 1] - offs[row]] = False
+                        if last:
+                            new[row] = data[offs[row] : offs[row + 1]][keep].tobytes().decode("utf-8")
                 arrays = {c: x.column(c) for c in cols}
                 if not last:
                     yield pa.record_batch([*arrays.values(), pa.array(spans, pa.list_(pa.int64()))], [*cols, marks])
                     continue
                 if new:
-                    texts = col.to_pylist()
+                    texts = x.column(text).to_pylist()
                     for k, v in new.items():
                         texts[k] = v
-                    arrays[text] = pa.array(texts, col.type)
+                    arrays[text] = pa.array(texts, x.column(text).type)
                     if "n_chars" in arrays and pa.types.is_integer(arrays["n_chars"].type):
-                        n = arrays["n_chars"].to_pylist()
+                        chars = arrays["n_chars"].to_pylist()
                         for k, v in new.items():
-                            n[k] = len(v)
-                        arrays["n_chars"] = pa.array(n, x.column("n_chars").type)
+                            chars[k] = len(v)
+                        arrays["n_chars"] = pa.array(chars, x.column("n_chars").type)
                 yield pa.record_batch([arrays[c] for c in cols], cols)
 
-        out = out.mapInArrow(tables.released(cut), kinds if b == blocks - 1 else marked)
+        return task
+
+    out = docs
+    for blocks in _passes(n):
+        first, last = blocks[0] == 0, blocks[-1] == n - 1
+        sent = _sent(built, blocks)
+        out = out.mapInArrow(tables.released(cut(sent, first, last)), kinds if last else marked)
+        if not last:
+            out = _between(out, sent)
     return out

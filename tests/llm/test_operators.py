@@ -195,7 +195,43 @@ def test_remove_is_the_same_for_any_blocks(spark):
     text = lambda n: {r.doc_id: (r.text, r.n_chars) for r in remove(table(spark, docs), bench, block_bytes=n).collect()}
     one = text(1 << 20)
     assert one[3][0].split() == [f"d3w{k}" for k in range(60) if not 10 <= k < 30] and one[900][0] is None and one[901][0] == ""
-    assert text(900) == one
+    assert text(900) == one  # several passes
+    assert text(4000) == one
+
+
+def test_windows_are_the_distinct_ones_with_all_their_items():
+    import pyarrow as pa
+
+    from pulsegrid.llm.decontaminate import windows
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "..."]
+    w = windows(pa.array([str(i % 50) for i in range(len(texts))]), pa.array(texts, pa.string()), 4)
+    plain = {}
+    for i, t in enumerate(texts):
+        x = (t or "").replace(".", "").split()
+        for k in range(max(1, len(x) - 3) if x else 0):
+            plain.setdefault(tuple(x[k : k + 4]), set()).add(str(i % 50))
+    rows = [tuple(v for v in r if v) for r in w.patterns().tolist()]
+    assert len(set(rows)) == len(rows) == len(plain)
+    letters = {h: x for x in "ab" for h in windows(pa.array(["i"]), pa.array([x]), 4).vocabulary.tolist()}
+    named = {tuple(letters[int(w.vocabulary[v - 1])] for v in r): set(w.items(k)) for k, r in enumerate(rows)}
+    assert named == plain
+    assert len(windows(pa.array(["i"]), pa.array([None], pa.string()), 4).start) == 0
+
+
+def test_decontamination_of_repeated_rows_null_ids_and_long_documents(spark, monkeypatch):
+    from pulsegrid.llm import decontaminate as D
+
+    item = "p q r s t u v w x y"
+    rows = [(None, item), (None, item), (3, "lead " + item), (3, "lead " + item), (4, "clean " * 50 + item + " clean" * 50), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), ("b", item), ("c", None)], "item_id string, text string")
+    for shard in (D.SHARD_BYTES, 64):
+        monkeypatch.setattr(D, "SHARD_BYTES", shard)
+        got = sorted((str(r.doc_id), r.n_words, tuple(r.spans), tuple(r["items"])) for r in D.contaminated(d, bench).collect())
+        both = ("b", "null")
+        assert got == sorted([("None", 10, (0, 10), both)] * 2 + [("3", 11, (1, 11), both)] * 2 + [("4", 110, (50, 60), both), ("5", 0, (), ())])
 
 
 def test_fm_index():
