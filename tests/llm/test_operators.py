@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -281,6 +282,45 @@ def test_secret_scan(spark):
     assert masked[2].text == docs[1][1] and masked[6].text is None and masked[8].text == "x [SECRET] y"
 
 
+def test_secret_scan_of_very_many_matches(spark):
+    from pulsegrid.llm import secret_scan as S
+
+    rng = random.Random(8)
+    alphabet = string.ascii_letters + string.digits
+
+    def text(n):
+        some = [
+            lambda: "password=" + "".join(rng.choices(alphabet, k=9)), lambda: "AKIA" + "".join(rng.choices("ABCD0123", k=18)), lambda: "".join(rng.choices("0123456789abcdef", k=30)),
+            lambda: "".join(rng.choices(alphabet + "_-", k=25)), lambda: "my_token:" + "".join(rng.choices(alphabet + "/", k=40)), lambda: "\u00e4\u20ac plain",
+        ]
+        return rng.choice(["", "x "]) + rng.choice([" ", "\n", "."]).join(rng.choice(some)() for _ in range(n))
+
+    texts = [text(n) for n in (0, 1, 2, 3, 4, 5, 9, 16, 17, 40, 300)]
+    spans = lambda t, k, p, g, least: [(m.start(), k, m.end()) for m in re.finditer(p, t) if len(m[g]) >= least]
+    plain = {}
+    for i, t in enumerate(texts):
+        base = sorted(spans(t, 0, S.ASSIGN, 2, 6) + spans(t, 1, S.ACCESS, 0, 20) + spans(t, 2, S.HEX, 0, 24))
+        digits = lambda v: sum(c.isdigit() for c in v) >= 4 and sum(c.isalpha() for c in v) >= 4
+        more = [s for s in spans(t, 3, S.OPAQUE, 0, 20) if digits(t[s[0] : s[2]]) and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        plain[i] = (base, sorted(base + more))
+    d = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: ([(s.start, s.kind, s.end) for s in r.base], [(s.start, s.kind, s.end) for s in r.spans]) for r in S.scan(d, max_owners=99, max_repositories=99).collect()}
+    assert got == plain
+    clean = {r.doc_id: r.text for r in S.redact(d, max_owners=99, max_repositories=99).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, _, b in plain[i][1]:
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert clean[i] == out + t[at:]
+    # all values hot, and joined all the same
+    hot = table(spark, [(i, "password=hunter2secret") for i in range(50)])
+    assert [len(r.spans) for r in S.scan(hot).collect()] == [1] * 50
+    big = table(spark, [(1, text(16000))])
+    assert len(S.scan(big, max_owners=99, max_repositories=99).collect()[0].spans) > 12000
+
+
 def test_sharding(spark, corpus):
     from pulsegrid.llm.sharding import layout, shard_documents, shard_of
 
