@@ -9,6 +9,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -107,6 +108,31 @@ def test_jaccard_join(spark, corpus):
     assert len({c for _, c, _ in got.values()}) < len(corpus)
 
 
+def test_near_copies_write_few_pair_rows_in_many_buckets(spark):
+    """Rows are written at the ends of runs of common prefix grams, not for each bucket that has one; their sums are the numbers of common grams."""
+    from pulsegrid.llm import jaccard_join as jj, textblock as tb
+
+    rng = random.Random(5)
+    base = words(rng, 600, 10_000).split()
+    texts = []
+    for k in range(10):
+        w = list(base)
+        w[rng.randrange(600)] = f"z{k}"
+        texts.append(" ".join(w))
+    docs = table(spark, list(enumerate(texts)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    posts = jj.prefix_postings(docs, spark.sparkContext.broadcast(none), 5, 80, 100, "text", 64).collect()
+    row, g = jj.shingles(*tb.buffers(pa.array(texts)), 5)
+    sid, n = jj._sids(row, g, len(texts))
+    heads = {int(s): set(g[row == i][: int(jj._prefix(n[i], 80, 100) + jj._more(n[i]))].tolist()) for i, s in enumerate(sid)}
+    got, rows = {}, 0
+    for r in posts:
+        got[r.a, r.b] = got.get((r.a, r.b), 0) + r.q
+        rows += 1
+    assert got == {(a, b): len(heads[a] & heads[b]) for a in heads for b in heads if a < b}
+    assert rows <= 12 * len(got)  # some 50 each, if every bucket with a common gram wrote one
+
+
 @pytest.mark.parametrize("block", [3000, 1 << 20])
 def test_jaccard_join_of_chains_and_thresholds(spark, monkeypatch, block):
     from pulsegrid.llm import jaccard_join
