@@ -4,8 +4,9 @@ Encoding: texts are split by the tokenizer's pattern; the distinct pieces of a
 partition become rows (piece, position, token); a recursive query joins
 neighbouring tokens with the merge table and contracts each piece's leftmost
 pair of minimum rank until no piece has a pair left. A piece that is a token as
-a whole takes it at once. Decoding joins token rows with the vocabulary and
-aggregates bytes in order of position.
+a whole takes it at once. Decoding joins token rows with the vocabulary; the
+bytes are put together in order of position. What comes of the vocabulary file
+alone is made once in a worker.
 
 Pieces over LONG bytes contract, in a round, every pair whose rank is the least
 within the longest token's length around it: no token that grows elsewhere can
@@ -25,6 +26,7 @@ a parameter that every worker can read; a fixed file, never copied.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -77,7 +79,7 @@ with recursive step(k, t, live) as (
 )
 select k, t from step where not live order by k
 """
-DECODE = "select d, list(b order by p) as bytes from (select x.d, x.p, v.b from token_rows x join vocabulary v on v.id = x.id) group by d order by d"
+DECODE = "select x.p, v.b from token_rows x join vocabulary v on v.id = x.id"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,8 +87,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _lists(col: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str) -> tuple[dict[bytes, int], pa.Table, list[tuple[int, bytes]]]:
+    """Ranks, merge table, and tokens that may merge further at a smaller rank than their own with the bytes that come of it."""
+    ranks = read_ranks(path)
+    cuts = [(l, r, i) for t, i in ranks.items() for k in range(1, len(t)) if (l := ranks.get(t[:k])) is not None and (r := ranks.get(t[k:])) is not None]
+    l, r, i = (np.array(x, np.int64) for x in zip(*cuts))
+    early = [(m, t) for t, n in ranks.items() for k in range(1, len(t)) for m in (ranks.get(t[:k]), ranks.get(t[k:])) if m is not None and m > n]
+    return ranks, pa.table({"pair": l << 16 | r, "id": i.astype(np.int32)}), early
 
 
 class Codec:
@@ -94,14 +102,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern).findall
-        self.ranks = read_ranks(path)
+        self.ranks, merges, self.early = _vocabulary(path)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.step_long = STEP_LONG.format(longest=max(map(len, self.ranks)))
-        l, r, i = (np.array(x, np.int64) for x in zip(*pairs))
-        self._create("merges", pa.table({"pair": l << 16 | r, "id": i.astype(np.int32)}))
-        # tokens that may merge further at a smaller rank than their own, and the bytes that come of it
-        self.early = [(int(m), b) for b, n in self.ranks.items() for k in range(1, len(b)) for m in (self.ranks.get(b[:k]), self.ranks.get(b[k:])) if m is not None and m > n]
+        self._create("merges", merges)
         self._create("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "b": pa.array(list(self.ranks), pa.binary())}))
         self.byte_token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
@@ -132,26 +136,33 @@ class Codec:
         """Encode pieces that have no number yet."""
         base = len(self.number)
         raw = [p.encode() for p in pieces]
-        parts: list[tuple[int, np.ndarray]] = []
+        n, first = np.ones(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
+        whole: list[int] = []
+        parts: list[np.ndarray] = []
         todo: dict[str, list[int]] = {STEP: [], self.step_long: []}
+        at: list[int] = []
         for i, b in enumerate(raw):
             if (t := self.ranks.get(b)) is not None:
-                parts.append((i, np.array([t], np.uint32)))
+                at.append(i)
+                whole.append(t)
             else:
                 todo[STEP if len(b) <= LONG else self.step_long].append(i)
+        first[at] = np.arange(len(at))
+        parts.append(np.array(whole, np.uint32))
+        size = len(at)
         for sql, which in todo.items():
             if which:
-                n, flat = self._contract([raw[i] for i in which], sql)
-                parts += zip(which, np.split(flat, np.cumsum(n)[:-1]))
-        parts.sort(key=lambda x: x[0])
-        n = np.array([len(x) for _, x in parts], np.int32)
-        flat = np.concatenate([x for _, x in parts])
+                n[which], flat = self._contract([raw[i] for i in which], sql)
+                first[which] = size + np.cumsum(n[which]) - n[which]
+                parts.append(flat)
+                size += len(flat)
+        flat = np.concatenate(parts)
         while len(self.count) < base + len(n):
             self.count, self.first = np.resize(self.count, 2 * len(self.count)), np.resize(self.first, 2 * len(self.first))
         while len(self.flat) < self.size + len(flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.count[base : base + len(n)] = n
-        self.first[base : base + len(n)] = self.size + np.cumsum(n) - n
+        self.first[base : base + len(n)] = self.size + first
         self.flat[self.size : self.size + len(flat)] = flat
         self.size += len(flat)
         self.number.update(zip(pieces, range(base, base + len(pieces))))
@@ -188,20 +199,20 @@ class Codec:
         def flush() -> None:
             if not rows:
                 return
-            n = np.array([len(x) for _, x in rows])
-            flat = np.concatenate([x for _, x in rows])
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            self.con.register("token_rows", pa.table({"d": np.repeat(np.arange(len(rows), dtype=np.int32), n), "p": place.astype(np.int32), "id": flat.astype(np.int32)}))
+            flat = np.concatenate([x for _, x in rows]).astype(np.int32)
+            self.con.register("token_rows", pa.table({"p": np.arange(len(flat), dtype=np.int32), "id": flat}))
             got = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("token_rows")
-            lists = _lists(got.column("bytes"))
-            child = lists.values
-            offs = child.offset
-            ends = np.frombuffer(child.buffers()[1], np.int32 if pa.types.is_binary(child.type) else np.int64)[offs : offs + len(child) + 1]
-            data = memoryview(child.buffers()[2]) if child.buffers()[2] is not None else memoryview(b"")
-            at = lists.offsets.to_numpy()
-            for k, d in enumerate(got.column("d").to_pylist()):
-                out[rows[d][0]].append(bytes(data[ends[at[k]] : ends[at[k + 1]]]))
+            if got.num_rows != len(flat):
+                raise ValueError("a token id isn't in the vocabulary")
+            p, b = got.column("p").to_numpy(), got.column("b").cast(pa.large_binary()).combine_chunks()
+            if (p[1:] < p[:-1]).any():
+                b = b.take(pa.array(np.argsort(p)))
+            ends = np.frombuffer(b.buffers()[1], np.int64)[b.offset : b.offset + len(b) + 1]
+            data = memoryview(b.buffers()[2]) if b.buffers()[2] is not None else memoryview(b"")
+            at = ends[np.cumsum([0, *(len(x) for _, x in rows)])].tolist()
+            for k, (i, _) in enumerate(rows):
+                out[i].append(bytes(data[at[k] : at[k + 1]]))
             rows.clear()
 
         size = 0

@@ -619,3 +619,22 @@ def test_pipeline_near_copies_of_five_words(spark):
     assert {r.doc_id: r.component_id for r in join(table(spark, docs)).collect()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
     assert {i for i, (_, c, _) in brute.jaccard_components(docs, 5, 80, 100).items() if c == i} == {0, 2, 4, 5, 6, 7}
     assert {r.doc_id for r in C.drop_near_copies(spark, table(spark, docs), "").collect()} == {0, 2, 4, 5, 6, 7}
+
+
+def test_byte_bpe_reads_its_vocabulary_once_and_decodes_every_token(monkeypatch):
+    import public_tokenizers
+
+    from pulsegrid.llm import bpe
+
+    calls, read = [], bpe.read_ranks
+    monkeypatch.setattr(bpe, "read_ranks", lambda path: calls.append(path) or read(path))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe._vocabulary.cache_clear()
+    one, two = bpe.Codec(path, public_tokenizers.PATTERN), bpe.Codec(path, public_tokenizers.PATTERN)
+    assert calls == [path]
+    texts = ["the and qzxkvw the", "", "é漢字 " + "ab" * 100, "the"]  # whole tokens, short and long pieces in one call
+    ids = one.encode_all(texts)
+    assert [two.encode(t).tolist() for t in texts] == [i.tolist() for i in ids]
+    assert two.decode_all(ids) == [t.encode() for t in texts]
+    with pytest.raises(ValueError):
+        two.decode_all([np.array([ids[0][0], 1 << 20], np.uint32)])
