@@ -30,6 +30,25 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(ends, prepend=-1))
 
 
+def sort_direct(s: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes ``s`` in order of their first bytes, eight at a time: only those that still agree with a neighbour are sorted on."""
+    s = s[np.argsort(w[s])]
+    new = np.ones(len(s), bool)
+    new[1:] = w[s[1:]] != w[s[:-1]]
+    for k in range(8, depth, 8):
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(at):
+            break
+        key = w[s[at] + k]
+        by = np.argsort(key)
+        rank = np.empty(len(at), np.int64)
+        rank[by] = np.cumsum(np.append(0, key[by[1:]] != key[by[:-1]]))
+        order = np.argsort(np.cumsum(new[at]) << 32 | rank)
+        s[at], key = s[at[order]], key[order]
+        new[at[1:]] |= key[1:] != key[:-1]
+    return s
+
+
 def two_stage(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the bytes ``t``, and words8 of t."""
     n = len(t)
@@ -38,7 +57,7 @@ def two_stage(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), w
     small = smaller_than_next(t)
     s = np.flatnonzero(small)
-    s = s[np.lexsort([w[s + k] for k in range((depth - 1) // 8 * 8, -8, -8)])] if len(s) else s
+    s = sort_direct(s, w, depth)
     at = np.searchsorted(t[s], np.arange(257))  # bounds of each first byte in the sorted ones
     came: list[list[np.ndarray]] = [[] for _ in range(256)]
     came[t[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the smallest of all

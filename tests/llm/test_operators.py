@@ -638,3 +638,21 @@ def test_byte_bpe_reads_its_vocabulary_once_and_decodes_every_token(monkeypatch)
     assert two.decode_all(ids) == [t.encode() for t in texts]
     with pytest.raises(ValueError):
         two.decode_all([np.array([ids[0][0], 1 << 20], np.uint32)])
+
+
+def test_direct_suffixes_are_sorted_on_only_where_they_agree():
+    from pulsegrid.llm import suffix_array as sa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 100, 400).astype(np.uint8)
+    copies = [base.copy() for _ in range(6)]
+    for k, x in enumerate(copies):
+        x[rng.integers(0, 400, k)] = 122
+    t = np.concatenate([*copies, rng.integers(97, 123, 2000).astype(np.uint8), np.full(100, 97, np.uint8)])
+    w = sa.words8(t, 50)
+    s = np.flatnonzero(sa.smaller_than_next(t))
+    got, raw = sa.sort_direct(s, w, 50), t.tobytes()
+    assert sorted(got.tolist()) == s.tolist()
+    first = [raw[i : i + 50] for i in got.tolist()]
+    assert first == sorted(first)
+    assert len(sa.sort_direct(s[:0], w, 50)) == 0
