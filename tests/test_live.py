@@ -3,6 +3,7 @@
 import math
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -15,7 +16,7 @@ from pulsegrid.operators import trackers
 from pulsegrid.operators.host import advance, with_kernels
 from pulsegrid.plans.advisor import Evidence
 from pulsegrid.plans.protocol import Protocol
-from pulsegrid.plans.session import Cursor, Phase
+from pulsegrid.plans.session import Cursor, Phase, seeds
 from pulsegrid.streaming.live import Live, Measure, run_live, state_store
 
 RNG = np.random.default_rng(5)
@@ -172,6 +173,16 @@ def test_phases_controls_and_failed_seed(spark, tmp_path):
     assert got == [("gain", 0.0, 0.0)] * 2 + [("gain", 2.0, 0.0), ("gain", 2.0, 0.25), ("gain", 4.0, 0.0), ("gain", 4.0, 0.25)]
 
 
+def test_seed_is_the_percentile_of_batch_and_sql(spark):
+    """To the last bit: 62.7 isn't above a threshold of 62.7, whichever way the seed was measured."""
+    rings = [np.round(RNG.exponential(50, 6), 2) for _ in range(500)] + [np.full(6, 20.7)]
+    rows = pd.DataFrame([(i, k, v) for i, ring in enumerate(rings) for k, v in enumerate(ring.tolist())], columns=["session_id", "sample_idx", "x"])
+    got = [Measure("t", "x", 75.0, 6, 1.2).value(ring) for ring in rings]
+    sql = duckdb.sql("select quantile_cont(x, 0.75) * 1.2 from rows group by session_id order by session_id").fetchall()
+    assert got == [v for (v,) in sql]
+    assert got == [r.seed for r in seeds(spark.createDataFrame(rows), F.col("x"), F.lit(True), 75.0, 6, 1.2).orderBy("session_id").collect()]
+
+
 def test_start_from_snapshots(spark, tmp_path):
     starts = spark.createDataFrame([(1, 0, 10.0, 50.0, 3.0)], "session_id long, kernel int, value double, target_pct double, n_eff double")
     live = Live(1.0, 2, [K.Percentile("x", "p", 50.0, 4), K.Map(["p"], "g", lambda p: p / 100)], [("analog", "gain", "g")])
